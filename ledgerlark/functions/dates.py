@@ -3,7 +3,7 @@ text-month dates (C13) and the date-like test used in profiling (P4)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import is_placeholder
@@ -52,6 +52,42 @@ def date_tokens(text: Column) -> dict[str, Column]:
             "left": left, "right": right, "has_numeric_date": has_numeric}
 
 
+def with_date_tokens(df: DataFrame, text_col: str, prefix: str = "_dt") -> DataFrame:
+    """C10 as staged columns (``{prefix}_t1.._t3, _n1.._n3, _has, _yl,
+    _left, _right``): later steps reference columns instead of repeating
+    the regex tree, which keeps generated code small."""
+    t = F.col(text_col)
+    p = prefix
+    df = df.withColumns({f"{p}_t1": _tok(t, 1), f"{p}_t2": _tok(t, 2), f"{p}_t3": _tok(t, 3),
+                         f"{p}_ph": is_placeholder(t)})
+    df = df.withColumns({f"{p}_n1": F.col(f"{p}_t1").try_cast("double"),
+                         f"{p}_n2": F.col(f"{p}_t2").try_cast("double"),
+                         f"{p}_n3": F.col(f"{p}_t3").try_cast("double")})
+    has = ~F.col(f"{p}_ph") & F.col(f"{p}_t1").isNotNull() & F.col(f"{p}_t2").isNotNull()
+    yl = F.col(f"{p}_t3").isNotNull() & ((F.length(f"{p}_t1") == 4) | (F.col(f"{p}_n1") > 31))
+    df = df.withColumns({f"{p}_has": has, f"{p}_yl": yl})
+    return df.withColumns({
+        f"{p}_left": F.when(F.col(f"{p}_yl"), F.col(f"{p}_n2")).otherwise(F.col(f"{p}_n1")),
+        f"{p}_right": F.when(F.col(f"{p}_yl"), F.col(f"{p}_n3")).otherwise(F.col(f"{p}_n2"))})
+
+
+def staged_parse_date(text_col: str, order: Column, prefix: str = "_dt") -> Column:
+    """C12 + C13 over the staged token columns of :func:`with_date_tokens`."""
+    p = prefix
+    t1, t3 = F.col(f"{p}_t1"), F.col(f"{p}_t3")
+    n1, n3 = F.col(f"{p}_n1"), F.col(f"{p}_n3")
+    left, right, has = F.col(f"{p}_left"), F.col(f"{p}_right"), F.col(f"{p}_has")
+    year = _normalize_year(F.when((F.length(t1) == 4) | (n1 > 31), n1).otherwise(n3))
+    day = F.when(order == "day_month", left).otherwise(right)
+    month = F.when(order == "day_month", right).otherwise(left)
+    conflict = F.when(order == "day_month", right > 12).otherwise(left > 12)
+    year_shape = (F.length(t3) <= 2) | (F.length(t3) == 4) | (n3 > 31) | (F.length(t1) == 4) | (n1 > 31)
+    ok = order.isNotNull() & t3.isNotNull() & ~conflict & year_shape
+    numeric = F.when(ok, _safe_date(year, month, day))
+    text_date = F.when(~F.col(f"{p}_ph"), parse_text_date(F.col(text_col), order))
+    return F.when(has, numeric).otherwise(text_date)
+
+
 def _normalize_year(y: Column) -> Column:
     return F.when(y < 100, y + 2000).otherwise(y)
 
@@ -60,7 +96,7 @@ def _safe_date(year: Column, month: Column, day: Column) -> Column:
     """Calendar-checked date; NULL for Feb 30 etc. and outside 1678..2261."""
     ok = (year.between(1678, 2261) & month.between(1, 12) & day.between(1, 31))
     txt = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
-    return F.when(ok, F.try_to_date(txt, F.lit("yyyy-MM-dd")))
+    return F.when(ok, F.try_to_date(txt, "yyyy-MM-dd"))
 
 
 def parse_numeric_date(text: Column, order: Column) -> Column:
@@ -83,12 +119,17 @@ def parse_numeric_date(text: Column, order: Column) -> Column:
     return F.when(ok, _safe_date(year, month, day))
 
 
-def _month_number(word: Column) -> Column:
-    expr = None
+def _month_map() -> Column:
+    pairs = []
     for num, names in MONTH_NAMES.items():
-        cond = word.isin(*names)
-        expr = F.when(cond, F.lit(num)) if expr is None else expr.when(cond, F.lit(num))
-    return expr
+        for name in names:
+            pairs += [F.lit(name), F.lit(num)]
+    return F.create_map(*pairs)
+
+
+def _month_number(word: Column) -> Column:
+    """Month number of a TR/EN month name (one map lookup, NULL if unknown)."""
+    return F.try_element_at(_month_map(), word)
 
 
 def parse_text_date(text: Column, order: Column) -> Column:
@@ -98,13 +139,12 @@ def parse_text_date(text: Column, order: Column) -> Column:
     Only used when a date order was detected (Q2) and the value does not
     have two numeric tokens (Q3).
     """
-    low = F.lower(text)
-    m1 = F.regexp_extract(low, "^\\s*(\\p{L}+)\\.?,?\\s+(\\d{4})\\s*$", 1)
-    y1 = F.regexp_extract(low, "^\\s*(\\p{L}+)\\.?,?\\s+(\\d{4})\\s*$", 2)
-    y2 = F.regexp_extract(low, "^\\s*(\\d{4})\\s+(\\p{L}+)\\.?\\s*$", 1)
-    m2 = F.regexp_extract(low, "^\\s*(\\d{4})\\s+(\\p{L}+)\\.?\\s*$", 2)
-    month = F.coalesce(_month_number(F.nullif(m1, F.lit(""))), _month_number(F.nullif(m2, F.lit(""))))
-    year = F.coalesce(F.nullif(y1, F.lit("")), F.nullif(y2, F.lit(""))).try_cast("int")
+    # "<month> <yyyy>" or "<yyyy> <month>" -> "<month> <yyyy>" by one rewrite
+    norm = F.regexp_replace(F.lower(text), "^\\s*(\\d{4})\\s+(\\p{L}+)\\.?\\s*$", "$2 $1")
+    m = F.regexp_extract(norm, "^\\s*(\\p{L}+)\\.?,?\\s+(\\d{4})\\s*$", 1)
+    y = F.regexp_extract(norm, "^\\s*(\\p{L}+)\\.?,?\\s+(\\d{4})\\s*$", 2)
+    month = _month_number(m)
+    year = F.nullif(y, F.lit("")).try_cast("int")
     return F.when(order.isNotNull(), _safe_date(year, month, F.lit(1)))
 
 
@@ -120,7 +160,7 @@ def is_date_like(text: Column, numeric_value: Column) -> Column:
     """Not a number, has a digit, and parses with a day-first pattern."""
     t = F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
     parsed = F.coalesce(
-        *[F.try_to_date(t, F.lit(p)) for p in DATE_LIKE_PATTERNS],
+        *[F.try_to_date(t, p) for p in DATE_LIKE_PATTERNS],
         *[F.to_date(F.try_to_timestamp(t, F.lit(p))) for p in TIMESTAMP_LIKE_PATTERNS],
     )
     return (F.length(t) > 0) & numeric_value.isNull() & t.rlike("\\d") & parsed.isNotNull()

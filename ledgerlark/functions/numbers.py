@@ -36,16 +36,12 @@ def round6(c: Column) -> Column:
 
 
 def _decimal_mark(t: Column) -> Column:
-    """Rightmost of ``,``/``.`` is the decimal mark; a lone comma is decimal."""
-    has_c = F.instr(t, ",") > 0
-    has_d = F.instr(t, ".") > 0
-    last_c = F.length(t) - F.locate(",", F.reverse(t)) + 1
-    last_d = F.length(t) - F.locate(".", F.reverse(t)) + 1
-    comma_decimal = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    dot_decimal = F.replace(t, F.lit(","), F.lit(""))
-    return (F.when(has_c & has_d, F.when(last_c > last_d, comma_decimal).otherwise(dot_decimal))
-             .when(has_c, F.replace(t, F.lit(","), F.lit(".")))
-             .otherwise(t))
+    """Rightmost of ``,``/``.`` is the decimal mark; a lone comma is decimal.
+
+    A comma with no dot after it is the decimal mark: drop dots, comma ->
+    dot.  Otherwise commas are grouping marks and are dropped.
+    """
+    return F.when(t.rlike(",[^.]*$"), F.translate(t, ",.", ".")).otherwise(F.translate(t, ",", ""))
 
 
 def parse_number_strict(c: Column) -> Column:
@@ -68,10 +64,24 @@ def normalize_numeric_text(c: Column) -> Column:
     return F.when(kept.rlike("[0-9]"), _decimal_mark(kept))
 
 
+def numeric_kept_text(cleaned: Column) -> Column:
+    """C4 text step on already cleaned, placeholder-free text."""
+    t = F.regexp_replace(F.lower(cleaned), LENIENT_CURRENCY_PATTERN, "")
+    return F.regexp_replace(t, "[^0-9,.\\-]", "")
+
+
+def lenient_from_kept(kept: Column) -> Column:
+    """C4 cast step on the output of :func:`numeric_kept_text`.
+
+    The text holds only ``[0-9,.-]`` here, so ``try_cast`` accepts exactly
+    what Python's float() accepts (no suffix letters, no blanks are left).
+    """
+    return _decimal_mark(kept).try_cast("double")
+
+
 def parse_number_lenient(c: Column) -> Column:
     """C4: lenient parse; NULL when the normalized text is not a number."""
-    t = normalize_numeric_text(c)
-    return F.when(t.rlike(_FLOAT_SHAPE), t.try_cast("double"))
+    return lenient_from_kept(numeric_kept_text(null_placeholders(c)))
 
 
 def parse_number_fallback(c: Column) -> Column:
@@ -81,21 +91,21 @@ def parse_number_fallback(c: Column) -> Column:
     grouping shape (``1.234.567``, ``1,234,567``), else the decimal-mark rule,
     else comma -> dot.
     """
-    cleaned = null_placeholders(c)
-    token = F.nullif(F.regexp_extract(cleaned, "[0-9][0-9.,]*[0-9]|[0-9]", 0), F.lit(""))
+    return fallback_from_clean(null_placeholders(c))
+
+
+def fallback_from_clean(cleaned: Column) -> Column:
+    """C5 on already cleaned, placeholder-free text."""
+    token = F.regexp_extract(cleaned, "[0-9][0-9.,]*[0-9]|[0-9]", 0)
     grouped = token.rlike("^[0-9]{1,3}([.][0-9]{3})+$|^[0-9]{1,3}([,][0-9]{3})+$")
-    no_groups = F.regexp_replace(token, "[.,]", "")
-    by_mark = _decimal_mark(token)
-    candidate = F.when(grouped, no_groups).otherwise(by_mark)
-    primary = F.when(candidate.rlike(_FLOAT_SHAPE), candidate.try_cast("double"))
-    comma_dot = F.replace(strip_ws(cleaned), F.lit(","), F.lit("."))
-    secondary = F.when(comma_dot.rlike(_FLOAT_SHAPE), comma_dot.try_cast("double"))
-    return F.coalesce(primary, secondary)
+    candidate = F.when(grouped, F.translate(token, ".,", "")).otherwise(_decimal_mark(token))
+    return candidate.try_cast("double")
 
 
 def clean_number(c: Column) -> Column:
     """C4 then C5 on the rows C4 failed on (``coalesce`` is lazy per row)."""
-    return F.coalesce(parse_number_lenient(c), parse_number_fallback(c))
+    cleaned = null_placeholders(c)
+    return F.coalesce(lenient_from_kept(numeric_kept_text(cleaned)), fallback_from_clean(cleaned))
 
 
 def normalize_discount(d: Column) -> Column:

@@ -35,9 +35,9 @@ def fix_mojibake(c: Column) -> Column:
     Only strings that hold a typical marker and no character above U+00FF
     are round-tripped; the result is kept only if it is valid UTF-8.
     """
-    gate = c.rlike("[ÃÅÄÂ]") & ~c.rlike("[^\\x{0000}-\\x{00FF}]")
-    raw = F.when(gate, F.encode(c, "ISO-8859-1"))
-    return F.coalesce(F.when(F.is_valid_utf8(raw), F.decode(raw, "UTF-8")), c)
+    gate = c.rlike("^[\\x{0000}-\\x{00FF}]*[ÃÅÄÂ][\\x{0000}-\\x{00FF}]*$")
+    raw = F.try_validate_utf8(F.when(gate, F.encode(c, "ISO-8859-1")))
+    return F.coalesce(F.decode(raw, "UTF-8"), c)
 
 
 def clean_text(c: Column) -> Column:

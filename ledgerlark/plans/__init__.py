@@ -1,0 +1,4 @@
+"""Registered queries (Spark plan + DuckDB oracle) per operator."""
+
+from . import catalog, cleaning_queries  # noqa: F401
+from .catalog import REGISTRY  # noqa: F401
