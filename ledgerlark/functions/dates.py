@@ -27,12 +27,14 @@ MONTH_NAMES = {
     12: ["aralık", "aralik", "ara", "december", "dec"],
 }
 
-# Patterns tried by the lenient date-like test (P4); day first.
-DATE_LIKE_PATTERNS = [
-    "d.M.yyyy", "d-M-yyyy", "d/M/yyyy", "yyyy-M-d", "yyyy/M/d", "yyyy.M.d",
-    "d.M.yy", "d-M-yy", "d/M/yy",
-]
-TIMESTAMP_LIKE_PATTERNS = ["yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "d.M.yyyy H:m", "d.M.yyyy H:m:s"]
+# Shapes accepted by the lenient date-like test (P4): day-first numeric dates,
+# year-first ISO-like dates (optionally with a time), and English month-name
+# dates with a 4-digit year.
+_DAY_FIRST = "^(\\d{1,2})[./-](\\d{1,2})[./-](\\d{4}|\\d{2})([ T]\\d{1,2}:\\d{2}(:\\d{2})?)?$"
+_YEAR_FIRST = "^(\\d{4})[./-](\\d{1,2})[./-](\\d{1,2})([ T]\\d{1,2}:\\d{2}(:\\d{2}(\\.\\d+)?)?)?$"
+_MONTH_WORDS = ("jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec")
+_MONTH_NAME_DATE = ("(?i)^(\\d{1,2}\\s+(" + _MONTH_WORDS + ")[a-z]*\\.?,?\\s+\\d{4}"
+                    "|(" + _MONTH_WORDS + ")[a-z]*\\.?\\s+\\d{1,2},?\\s+\\d{4})$")
 
 
 def _tok(text: Column, i: int) -> Column:
@@ -157,10 +159,18 @@ def parse_date(text: Column, order: Column) -> Column:
 
 
 def is_date_like(text: Column, numeric_value: Column) -> Column:
-    """Not a number, has a digit, and parses with a day-first pattern."""
-    t = F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
-    parsed = F.coalesce(
-        *[F.try_to_date(t, p) for p in DATE_LIKE_PATTERNS],
-        *[F.to_date(F.try_to_timestamp(t, F.lit(p))) for p in TIMESTAMP_LIKE_PATTERNS],
-    )
-    return (F.length(t) > 0) & numeric_value.isNull() & t.rlike("\\d") & parsed.isNotNull()
+    """Not a number, has a digit, and reads as a date (day first).
+
+    A regex picks the shape and rewrites it to ``y-M-d``; one calendar check
+    (``try_to_date``) decides.  Day and month are swapped when only the swap
+    is a valid date, as a lenient day-first parser does.  Parsing is only
+    attempted on shape matches, so failures (exceptions) stay rare.
+    """
+    t = text
+    day_first = F.coalesce(F.try_to_date(F.regexp_replace(t, _DAY_FIRST, "$3-$2-$1"), "y-M-d"),
+                           F.try_to_date(F.regexp_replace(t, _DAY_FIRST, "$3-$1-$2"), "y-M-d"))
+    year_first = F.try_to_date(F.regexp_replace(t, _YEAR_FIRST, "$1-$2-$3"), "y-M-d")
+    shaped = (F.when(t.rlike(_DAY_FIRST), day_first.isNotNull())
+               .when(t.rlike(_YEAR_FIRST), year_first.isNotNull())
+               .otherwise(t.rlike(_MONTH_NAME_DATE)))
+    return numeric_value.isNull() & t.rlike("\\d") & shaped

@@ -35,6 +35,12 @@ def round6(c: Column) -> Column:
     return round_even(c, 6)
 
 
+def _shaped_double(t: Column) -> Column:
+    """Cast only text shaped like a float: a failed cast costs an exception
+    per value inside the JVM, a regex test does not."""
+    return F.when(t.rlike(_FLOAT_SHAPE), t.try_cast("double"))
+
+
 def _decimal_mark(t: Column) -> Column:
     """Rightmost of ``,``/``.`` is the decimal mark; a lone comma is decimal.
 
@@ -50,9 +56,7 @@ def parse_number_strict(c: Column) -> Column:
     for marker in CURRENCY_MARKERS:
         t = F.replace(t, F.lit(marker), F.lit(""))
     kept = F.regexp_replace(t, "[^0-9,.\\-]", "")
-    normalized = _decimal_mark(kept)
-    ok = (~t.rlike("[a-zA-Z]")) & kept.rlike("[0-9]") & normalized.rlike(_FLOAT_SHAPE)
-    return F.when(ok, normalized.try_cast("double"))
+    return F.when(~t.rlike("[a-zA-Z]"), _shaped_double(_decimal_mark(kept)))
 
 
 def normalize_numeric_text(c: Column) -> Column:
@@ -76,7 +80,7 @@ def lenient_from_kept(kept: Column) -> Column:
     The text holds only ``[0-9,.-]`` here, so ``try_cast`` accepts exactly
     what Python's float() accepts (no suffix letters, no blanks are left).
     """
-    return _decimal_mark(kept).try_cast("double")
+    return _shaped_double(_decimal_mark(kept))
 
 
 def parse_number_lenient(c: Column) -> Column:
@@ -99,7 +103,7 @@ def fallback_from_clean(cleaned: Column) -> Column:
     token = F.regexp_extract(cleaned, "[0-9][0-9.,]*[0-9]|[0-9]", 0)
     grouped = token.rlike("^[0-9]{1,3}([.][0-9]{3})+$|^[0-9]{1,3}([,][0-9]{3})+$")
     candidate = F.when(grouped, F.translate(token, ".,", "")).otherwise(_decimal_mark(token))
-    return candidate.try_cast("double")
+    return _shaped_double(candidate)
 
 
 def clean_number(c: Column) -> Column:

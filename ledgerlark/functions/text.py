@@ -17,7 +17,10 @@ _ACCENTS = {
 ACCENT_FROM = "".join(v for v in _ACCENTS.values())
 ACCENT_TO = "".join(k * len(v) for k, v in _ACCENTS.items())
 
-_WS = "(?U)\\s+"
+# Python's whitespace set (what ``str.strip`` / ``\\s`` remove), derived by rule.
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+_WS_CLASS = "[" + "".join(f"\\u{ord(ch):04x}" for ch in WHITESPACE) + "]"
+_WS = _WS_CLASS + "+"
 
 
 def _lit_list(values):
@@ -25,8 +28,9 @@ def _lit_list(values):
 
 
 def strip_ws(c: Column) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    """Python ``str.strip()``: remove leading/trailing Unicode whitespace
+    (``btrim`` with the whitespace set: no regex)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def fix_mojibake(c: Column) -> Column:
