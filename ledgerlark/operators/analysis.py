@@ -93,10 +93,12 @@ def daily_filled(df: DataFrame, start=None, end=None,
     per series) bounds table: its size is the number of days, not rows.
     """
     ranged = filter_range(df, start, end)
-    bounds = _bounds(ranged, start, end, series_cols)
+    daily = daily_sales(ranged, series_cols)
+    # bounds from the (small) daily aggregate: its exchange is reused, no
+    # second scan of the raw rows
+    bounds = _bounds(daily, start, end, series_cols)
     spine = bounds.select(*series_cols, F.explode(
         F.sequence("start_date", "end_date", F.expr("INTERVAL 1 DAY"))).alias("date"))
-    daily = daily_sales(ranged, series_cols)
     keys = [*series_cols, "date"]
     return (spine.join(daily, keys, "left")
                  .select(*keys,

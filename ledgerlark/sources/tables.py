@@ -31,15 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_SCAN_PARTITIONS: dict[tuple[str, ...], int] = {}
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin the scan over all cores when it yields fewer input
     partitions than the default parallelism (e.g. one file with a single
     row group).  A no-op on real inputs with many files / row groups.
     Filters and column pruning still reach the scan below the repartition.
+    The partition count of a path is planned once per process.
     """
     spark = df.sparkSession
     target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    key = tuple(sorted(df.inputFiles()))
+    if key not in _SCAN_PARTITIONS:
+        _SCAN_PARTITIONS[key] = df.rdd.getNumPartitions()
+    if _SCAN_PARTITIONS[key] < target:
         return df.repartition(target)
     return df
 
