@@ -138,7 +138,8 @@ def column_profile(df: DataFrame, sample_rows: int | None = None,
                  .when(n == top, F.lit("numeric"))
                  .when(F.coalesce(avg_len, F.lit(0.0)) > 10, F.lit("long_string"))
                  .otherwise(F.lit("short_string")))
-    prof = names.join(per, "i", "left").select(
+    # ``per`` has one row per column (bounded by the schema): broadcast it
+    prof = names.join(F.broadcast(per), "i", "left").select(
         "position", "column", normalize_name(F.col("column")).alias("normalized_name"),
         dominant.alias("dominant_type"),
         F.col("e").alias("n_empty"), d.alias("n_date"), n.alias("n_numeric"), s_.alias("n_string"),
