@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..schema import PLACEHOLDER_VALUES
 from .text import is_placeholder
 
 TOKEN_PATTERN = "^\\D*(\\d+)\\D+(\\d+)(?:\\D+(\\d+))?"
@@ -60,8 +61,14 @@ def with_date_tokens(df: DataFrame, text_col: str, prefix: str = "_dt") -> DataF
     the regex tree, which keeps generated code small."""
     t = F.col(text_col)
     p = prefix
-    df = df.withColumns({f"{p}_t1": _tok(t, 1), f"{p}_t2": _tok(t, 2), f"{p}_t3": _tok(t, 3),
-                         f"{p}_ph": is_placeholder(t)})
+    # the first three digit runs equal the groups of TOKEN_PATTERN: one
+    # regex pass; the text is already cleaned, so the placeholder test is a
+    # set lookup
+    df = df.withColumns({f"{p}_runs": F.regexp_extract_all(t, F.lit("(\\d+)"), 1),
+                         f"{p}_ph": t.isNull() | F.lower(t).isin(*PLACEHOLDER_VALUES)})
+    df = df.withColumns({f"{p}_t1": F.try_element_at(F.col(f"{p}_runs"), F.lit(1)),
+                         f"{p}_t2": F.try_element_at(F.col(f"{p}_runs"), F.lit(2)),
+                         f"{p}_t3": F.try_element_at(F.col(f"{p}_runs"), F.lit(3))})
     df = df.withColumns({f"{p}_n1": F.col(f"{p}_t1").try_cast("double"),
                          f"{p}_n2": F.col(f"{p}_t2").try_cast("double"),
                          f"{p}_n3": F.col(f"{p}_t3").try_cast("double")})

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import CURRENCY_MARKERS, LENIENT_CURRENCY_PATTERN
+from ..schema import CURRENCY_MARKERS
 from .text import clean_text, null_placeholders, strip_ws
 
 # Shape accepted by Python's float() once only [0-9.-] are left.
@@ -36,9 +36,13 @@ def round6(c: Column) -> Column:
 
 
 def _shaped_double(t: Column) -> Column:
-    """Cast only text shaped like a float: a failed cast costs an exception
-    per value inside the JVM, a regex test does not."""
-    return F.when(t.rlike(_FLOAT_SHAPE), t.try_cast("double"))
+    """Cast text made of ``[0-9.-]`` only when it has float shape (one dot at
+    most, a minus only in front, a digit): a failed cast costs an exception
+    per value inside the JVM.  Byte-level checks, no regex."""
+    dots = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
+    minus_inside = F.instr(F.substring(t, 2, 1 << 30), "-") > 0
+    has_digit = F.length(F.translate(t, ".-", "")) > 0
+    return F.when((dots <= 1) & ~minus_inside & has_digit, t.try_cast("double"))
 
 
 def _decimal_mark(t: Column) -> Column:
@@ -47,7 +51,8 @@ def _decimal_mark(t: Column) -> Column:
     A comma with no dot after it is the decimal mark: drop dots, comma ->
     dot.  Otherwise commas are grouping marks and are dropped.
     """
-    return F.when(t.rlike(",[^.]*$"), F.translate(t, ",.", ".")).otherwise(F.translate(t, ",", ""))
+    comma_last = (F.instr(t, ",") > 0) & (F.instr(F.substring_index(t, ",", -1), ".") == 0)
+    return F.when(comma_last, F.translate(t, ",.", ".")).otherwise(F.translate(t, ",", ""))
 
 
 def parse_number_strict(c: Column) -> Column:
@@ -62,16 +67,15 @@ def parse_number_strict(c: Column) -> Column:
 def normalize_numeric_text(c: Column) -> Column:
     """C4 text step: placeholders NULL, drop currency words and every other
     non ``[0-9,.-]`` character (letters are dropped, not rejected)."""
-    cleaned = null_placeholders(c)
-    t = F.regexp_replace(F.lower(strip_ws(cleaned)), LENIENT_CURRENCY_PATTERN, "")
-    kept = F.regexp_replace(t, "[^0-9,.\\-]", "")
-    return F.when(kept.rlike("[0-9]"), _decimal_mark(kept))
+    kept = numeric_kept_text(null_placeholders(c))
+    return F.when(F.length(F.translate(kept, ",.-", "")) > 0, _decimal_mark(kept))
 
 
 def numeric_kept_text(cleaned: Column) -> Column:
-    """C4 text step on already cleaned, placeholder-free text."""
-    t = F.regexp_replace(F.lower(cleaned), LENIENT_CURRENCY_PATTERN, "")
-    return F.regexp_replace(t, "[^0-9,.\\-]", "")
+    """C4 text step on already cleaned, placeholder-free text: keep only
+    ``[0-9,.-]``.  (Removing the currency words first changes nothing: every
+    letter is dropped here anyway.)"""
+    return F.regexp_replace(cleaned, "[^0-9,.\\-]", "")
 
 
 def lenient_from_kept(kept: Column) -> Column:

@@ -36,17 +36,28 @@ def strip_ws(c: Column) -> Column:
 def fix_mojibake(c: Column) -> Column:
     """Undo UTF-8 read as Latin-1 (``Ã§ay`` -> ``çay``), gated and validated.
 
-    Only strings that hold a typical marker and no character above U+00FF
-    are round-tripped; the result is kept only if it is valid UTF-8.
+    Only strings that hold a typical marker (cheap byte search) and no
+    character above U+00FF are round-tripped; the result is kept only if it
+    is valid UTF-8.
     """
-    gate = c.rlike("^[\\x{0000}-\\x{00FF}]*[ÃÅÄÂ][\\x{0000}-\\x{00FF}]*$")
+    marker = c.contains("Ã") | c.contains("Å") | c.contains("Ä") | c.contains("Â")
+    gate = marker & ~c.rlike("[^\\x{0000}-\\x{00FF}]")
     raw = F.try_validate_utf8(F.when(gate, F.encode(c, "ISO-8859-1")))
-    return F.coalesce(F.decode(raw, "UTF-8"), c)
+    return F.when(marker, F.coalesce(F.decode(raw, "UTF-8"), c)).otherwise(c)
+
+
+_OTHER_WS = WHITESPACE.replace(" ", "")
 
 
 def clean_text(c: Column) -> Column:
-    """Mojibake repair, strip, collapse inner whitespace to one space."""
-    return F.regexp_replace(strip_ws(fix_mojibake(c.cast("string"))), _WS, " ")
+    """Mojibake repair, strip, collapse inner whitespace to one space.
+
+    Every whitespace character becomes a space by ``translate`` (no regex);
+    the collapse regex runs only on strings that hold a double space.
+    """
+    t = F.translate(fix_mojibake(c.cast("string")), _OTHER_WS, " " * len(_OTHER_WS))
+    t = F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
+    return F.btrim(t, F.lit(" "))
 
 
 def placeholder_key(c: Column) -> Column:

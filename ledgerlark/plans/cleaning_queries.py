@@ -218,3 +218,14 @@ def q_revenue_mismatch(spark, d):
 @register("clean_product_name_expr", _truth("select product_name from truth2"))
 def q_product_expr(spark, d):
     return dirty_sales(spark, d).select(clean_product_name(F.col(PRODUCT_SRC)).alias("product_name"))
+
+
+@register("parse_number_fallback", Q.with_(Q.SALES) + "select h, unit_price from sales")
+def q_fallback(spark, d):
+    from ..functions.numbers import parse_number_fallback
+    return dirty_sales(spark, d).select("h", parse_number_fallback(F.col(PRICE_SRC)).alias("unit_price"))
+
+
+@register("date_issues")
+def q_date_issues(spark, d):
+    return cleaned_dirty(spark, d).date_issues()

@@ -350,3 +350,32 @@ def q_comparison(spark, d):
 def q_brand_summary(spark, d):
     wk = W.weekly_features(sales(spark, d), ["discount"], ["p_brand"], numeric_extras=["discount"])
     return L.run_weekly_forecast(wk, ["p_brand"])["summary"]
+
+
+
+
+
+def _summary_sql():
+    from .catalog import REGISTRY
+    return REGISTRY["forecast_summary"].sql
+
+
+@register("forecast_scenarios", "select horizon, conservative, expected, optimistic, adjustment_percent from ("
+          + _summary_sql() + ") s")
+def q_scenarios(spark, d):
+    return q_summary(spark, d).select("horizon", "conservative", "expected", "optimistic", "adjustment_percent")
+
+
+@register("forecast_trend", 'select horizon, periods, "first", "last", direction from (' + _summary_sql() + ") s")
+def q_trend(spark, d):
+    return q_summary(spark, d).select("horizon", "periods", "first", "last", "direction")
+
+
+@register("forecast_series")
+def q_forecast_series(spark, d):
+    return L.run_weekly_forecast(weekly(spark, d), with_forest=False)["series"]
+
+
+@register("model_choice")
+def q_model_choice(spark, d):
+    return L.run_weekly_forecast(weekly(spark, d), with_forest=False)["choice"]
