@@ -152,16 +152,50 @@ def score_revenue(prof: DataFrame, formula: DataFrame | None = None) -> DataFram
     return _candidates(p, "revenue", score, 0.8)
 
 
+def _score_table(prof: DataFrame, formula: DataFrame | None) -> tuple[DataFrame, list]:
+    """Profile rows (+ formula validity) and the (target, score, threshold)
+    expressions of K1-K6."""
+    if formula is not None:
+        z = formula.where("is_best").select("column", F.col("is_valid").cast("int").alias("_z"))
+        p = prof.join(F.broadcast(z), "column", "left")
+    else:
+        p = prof.withColumn("_z", F.lit(0))
+    zc = F.coalesce(F.col("_z"), F.lit(0))
+    revenue = ((1 - _has(REVENUE_BLOCK_KEYS)) * _type_is("numeric") * F.least(F.lit(1.0), F.greatest(
+        _has(REVENUE_KEYS).cast("double"), zc.cast("double"),
+        _has(REVENUE_TOTAL_KEYS) * 0.8 + _has(REVENUE_AMOUNT_KEYS) * 0.2 + F.col("has_currency").cast("int") * 0.2)))
+    qe = (F.when(F.col("dominant_type") == "numeric", F.lit(1.0))
+           .when(F.col("dominant_type") == "short_string", F.lit(0.5)).otherwise(F.lit(0.0)))
+    exprs = [
+        ("date", _has(DATE_NAME_KEYS) * 0.5 + _type_is("date") * 0.5, 0.5),
+        ("product_name", (1 - _type_is("date", "numeric"))
+         * (_has(PRODUCT_NAME_KEYS) * 0.7 + _has(PRODUCT_NAME_SECONDARY_KEYS) * 0.3), 0.3),
+        ("quantity", (1 - _has(QUANTITY_BLOCK_KEYS)) * (1 - _type_is("date", "long_string"))
+         * (F.least(F.lit(1.0), _has(QUANTITY_KEYS) + _has(QUANTITY_AMOUNT_KEYS) * 0.5) * 0.6 + qe * 0.4), 0.5),
+        ("unit_price", (1 - _has(PRICE_BLOCK_KEYS)) * _type_is("numeric") * F.least(
+            F.lit(1.0), _has(PRICE_KEYS) * 0.6 + _has(PRICE_UNIT_KEYS) * 0.4
+            + F.col("has_currency").cast("int") * 0.2), 0.6),
+        ("revenue", revenue, 0.8),
+        ("discount", _has(DISCOUNT_KEYS) * _type_is("numeric", "short_string") * (1 - _has(DISCOUNT_BLOCK_KEYS)), 0.5),
+    ]
+    return p, exprs
+
+
 def candidate_scores(prof: DataFrame, formula: DataFrame | None = None) -> DataFrame:
     """K9: all candidates ``(target, column, score, rank)``; rank by score
-    desc, column position asc (stable like the reference's sort)."""
-    parts = [score_date(prof), score_product_name(prof), score_quantity(prof),
-             score_unit_price(prof), score_revenue(prof, formula), score_discount(prof)]
-    u = parts[0]
-    for x in parts[1:]:
-        u = u.unionByName(x)
+    desc, column position asc (stable like the reference's sort).
+
+    All six targets are scored in one projection over the profile table
+    (exploded to one row per column and target), so the profile is computed
+    once, not once per target.
+    """
+    p, exprs = _score_table(prof, formula)
+    scored = p.select("position", "column", F.explode(F.array(*[
+        F.struct(F.lit(t).alias("target"), round_even(e.cast("double"), 4).alias("score"),
+                 F.lit(th).alias("th")) for t, e, th in exprs])).alias("s")).select(
+        "position", "column", "s.*").where(F.col("score") >= F.col("th"))
     w = Window.partitionBy("target").orderBy(F.desc("score"), F.asc("position"))
-    return u.withColumn("rank", F.row_number().over(w)).select("target", "column", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).select("target", "column", "score", "rank")
 
 
 def best_mapping(candidates: DataFrame) -> DataFrame:

@@ -229,3 +229,25 @@ def q_fallback(spark, d):
 @register("date_issues")
 def q_date_issues(spark, d):
     return cleaned_dirty(spark, d).date_issues()
+
+
+# Month names used to spell dates in words for the text-date round trip
+# (fixed values; the first name of each month in the parser's table).
+_TR_MONTHS = ["Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül",
+              "Ekim", "Kasım", "Aralık"]
+_EN_MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September",
+              "October", "November", "December"]
+
+
+@register("clean_text_date", Q.with_(Q.SALES) + """
+select h, cast(date_trunc('month', date) as date) as date from sales""")
+def q_text_date(spark, d):
+    """Month-name dates (``Ocak 1996`` / ``1996 January``) -> first of month."""
+    from ..functions.dates import parse_text_date
+    from ..sources.tables import sales
+    s = sales(spark, d)
+    tr = F.element_at(F.array(*[F.lit(m) for m in _TR_MONTHS]), F.month("date"))
+    en = F.element_at(F.array(*[F.lit(m) for m in _EN_MONTHS]), F.month("date"))
+    text = F.when(F.col("h") % 2 == 0, F.concat(tr, F.lit(" "), F.year("date").cast("string"))) \
+            .otherwise(F.concat(F.year("date").cast("string"), F.lit(" "), en))
+    return s.select("h", parse_text_date(text, F.lit("day_month")).alias("date"))

@@ -379,3 +379,17 @@ def q_forecast_series(spark, d):
 @register("model_choice")
 def q_model_choice(spark, d):
     return L.run_weekly_forecast(weekly(spark, d), with_forest=False)["choice"]
+
+
+@register("forest_forecast")
+def q_forest(spark, d):
+    """MLlib random forest test predictions (single series)."""
+    wk = weekly(spark, d)
+    split = L.train_test_split(wk)
+    return L.forest_forecast(split, L.feature_selection(split))
+
+
+@register("future_forecast")
+def q_future(spark, d):
+    """12-week forecast of the chosen model (baseline or ridge)."""
+    return L.run_weekly_forecast(weekly(spark, d), with_forest=False)["future"]
