@@ -8,7 +8,7 @@ guarded by a shape regex first (ANSI mode is on in Spark 4).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CURRENCY_MARKERS
@@ -64,6 +64,25 @@ def parse_number_strict(c: Column) -> Column:
     return F.when(~t.rlike("[a-zA-Z]"), _shaped_double(_decimal_mark(kept)))
 
 
+def with_strict_number(df: DataFrame, src: str, out: str) -> DataFrame:
+    """P5 as staged projections (same result as :func:`parse_number_strict`).
+
+    Each step is its own projection, so the text produced by one step is
+    computed once even though the next step reads it several times
+    (Catalyst does not share subexpressions across CASE branches).
+    """
+    p = f"_{out}"
+    t = F.lower(strip_ws(F.col(src).cast("string")))
+    for marker in CURRENCY_MARKERS:
+        t = F.replace(t, F.lit(marker), F.lit(""))
+    df = df.withColumn(f"{p}_t", t)
+    df = df.withColumns({f"{p}_letters": F.col(f"{p}_t").rlike("[a-zA-Z]"),
+                         f"{p}_kept": F.regexp_replace(F.col(f"{p}_t"), "[^0-9,.\\-]", "")})
+    df = df.withColumn(f"{p}_dm", _decimal_mark(F.col(f"{p}_kept")))
+    df = df.withColumn(out, F.when(~F.col(f"{p}_letters"), _shaped_double(F.col(f"{p}_dm"))))
+    return df.drop(f"{p}_t", f"{p}_letters", f"{p}_kept", f"{p}_dm")
+
+
 def normalize_numeric_text(c: Column) -> Column:
     """C4 text step: placeholders NULL, drop currency words and every other
     non ``[0-9,.-]`` character (letters are dropped, not rejected)."""

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import normalize_discount, parse_number_strict, round_even
+from ..functions.numbers import normalize_discount, round_even, with_strict_number
 from ..functions.text import contains_any
 from ..schema import (DATE_NAME_KEYS, DISCOUNT_BLOCK_KEYS, DISCOUNT_KEYS, PRICE_BLOCK_KEYS,
                       PRICE_KEYS, PRICE_UNIT_KEYS, PRODUCT_NAME_KEYS, PRODUCT_NAME_SECONDARY_KEYS,
@@ -102,12 +102,16 @@ def revenue_formula_checks(raw: DataFrame, quantity: str | None, unit_price: str
     if discount in {quantity, unit_price}:
         discount = None
     src = raw.limit(sample_rows) if sample_rows else raw
-    q = parse_number_strict(F.col(f"`{quantity}`"))
-    p = parse_number_strict(F.col(f"`{unit_price}`"))
-    staged = src.select(q.alias("_q"), p.alias("_p"),
-                        *([normalize_discount(parse_number_strict(F.col(f"`{discount}`"))).alias("_d")]
-                          if discount else []),
-                        *[parse_number_strict(F.col(f"`{c}`")).alias(f"_r{i}") for i, c in enumerate(cols)])
+    # staged strict parses: each column's parse steps run once per row
+    staged = src.select(F.col(f"`{quantity}`").alias("_sq"), F.col(f"`{unit_price}`").alias("_sp"),
+                        *([F.col(f"`{discount}`").alias("_sd")] if discount else []),
+                        *[F.col(f"`{c}`").alias(f"_sr{i}") for i, c in enumerate(cols)])
+    staged = with_strict_number(staged, "_sq", "_q")
+    staged = with_strict_number(staged, "_sp", "_p")
+    if discount:
+        staged = with_strict_number(staged, "_sd", "_d0").withColumn("_d", normalize_discount(F.col("_d0")))
+    for i, _ in enumerate(cols):
+        staged = with_strict_number(staged, f"_sr{i}", f"_r{i}")
     forms = [(BASE_FORMULA, F.col("_q") * F.col("_p"), F.lit(True))]
     if discount:
         forms.append((DISCOUNT_FORMULA, F.col("_q") * F.col("_p") * (1 - F.col("_d")), F.col("_d").isNotNull()))

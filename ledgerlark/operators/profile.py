@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import is_date_like
-from ..functions.numbers import parse_number_strict, round_even
+from ..functions.numbers import parse_number_strict, round_even, with_strict_number
 from ..functions.text import normalize_name, strip_ws
 from ..schema import CURRENCY_MARKERS
 
@@ -114,7 +114,8 @@ def column_profile(df: DataFrame, sample_rows: int | None = None,
                   if kind[i] == "num" else F.col(f"`{c}`").cast("string")).alias("x"))
         for i, c in enumerate(cols)])).alias("cell")).select("cell.*")
     cells = cells.withColumn("t", strip_ws(F.col("x")))
-    cells = cells.withColumn("num", F.when(F.col("kind") == "text", parse_number_strict(F.col("t"))))
+    cells = with_strict_number(cells, "t", "_num_any")
+    cells = cells.withColumn("num", F.when(F.col("kind") == "text", F.col("_num_any"))).drop("_num_any")
     k = (F.when(F.col("x").isNull(), F.lit("empty"))
           .when(F.col("kind") == "date", F.lit("date"))
           .when(F.col("kind") == "num", F.lit("numeric"))
