@@ -41,12 +41,14 @@ def anomaly_flags(df: DataFrame, start=None, end=None, multiplier: float = IQR_D
                   include_low: bool = False, series_cols: Sequence[str] = ()) -> DataFrame:
     """B2: daily rows with ``is_anomaly``, ``anomaly_revenue``, both bounds.
 
-    The bounds are one row (one per series): joined by broadcast, never
-    collected to the driver.
+    The bounds are one row (broadcast) or one row per series (joined on the
+    series keys); never collected to the driver.
     """
     daily = daily_filled(df, start, end, series_cols)
     bounds = iqr_bounds(daily, multiplier, series_cols)
-    joined = (daily.join(F.broadcast(bounds), list(series_cols), "inner") if series_cols
+    # one bounds row in total -> broadcast; one per series grows with the
+    # series count -> plain equi-join (AQE broadcasts it when it is small)
+    joined = (daily.join(bounds, list(series_cols), "inner") if series_cols
               else daily.crossJoin(F.broadcast(bounds)))
     high = F.col("revenue") > F.col("upper_bound")
     low = (F.col("revenue") < F.col("lower_bound")) if include_low else F.lit(False)

@@ -24,7 +24,11 @@ def business_summary(sales: DataFrame, start=None, end=None, forecast_summary: D
                      top: int = 5) -> DataFrame:
     """Date range, KPIs, top products, ABC counts + top A products,
     anomaly summary + top anomaly days, forecast per horizon; one row with a
-    ``summary`` JSON column (timestamps ISO, NaN already NULL: D2)."""
+    ``summary`` JSON column (timestamps ISO, NaN already NULL: D2).
+
+    One document describes one sales series; ``forecast_summary`` is that
+    series' per-horizon table (five rows), so every array is bounded.
+    """
     rng = A.date_range(A.filter_range(sales, start, end)).select(
         F.struct(F.date_format("start_date", "yyyy-MM-dd").alias("start"),
                  F.date_format("end_date", "yyyy-MM-dd").alias("end")).alias("date_range"))
