@@ -314,3 +314,21 @@ select cast(scenario_id as integer) as scenario_id, price_pct, qty_pct, round_ev
 from sim""")
 def q_what_if(spark, d):
     return P.what_if_scenarios(sales(spark, d))
+
+
+@register("brand_anomaly_days", Q.with_(Q.SALES) + """,
+bd as (select p_brand, date, sum(cast(revenue as decimal(38,2))) as rev, sum(quantity) as qty
+       from sales where date is not null group by p_brand, date),
+bb as (select p_brand, min(date) as s, max(date) as e from bd group by p_brand),
+bs as (select p_brand, cast(unnest(generate_series(cast(s as timestamp), cast(e as timestamp), interval 1 day)) as date) as date
+       from bb),
+bf as (select bs.p_brand, bs.date, coalesce(cast(bd.rev as double), 0.0) as revenue, coalesce(bd.qty, 0.0) as quantity
+       from bs left join bd on bs.p_brand = bd.p_brand and bs.date = bd.date),
+bq as (select p_brand, quantile_cont(revenue, 0.25) as q1, quantile_cont(revenue, 0.75) as q3 from bf group by p_brand)
+select bf.p_brand, bf.date, round_even(revenue, 2) as revenue, round_even(quantity, 2) as quantity,
+       case when revenue > q3 + 1.5 * (q3 - q1) then 'Above normal upper bound' else 'Below normal lower bound' end as reason
+from bf join bq on bf.p_brand = bq.p_brand
+where revenue > q3 + 1.5 * (q3 - q1) or revenue < q1 - 1.5 * (q3 - q1)""")
+def q_brand_anomalies(spark, d):
+    """B1-B3 per brand: each brand's own calendar span, IQR and flags."""
+    return B.anomaly_days(sales(spark, d), multiplier=1.5, include_low=True, series_cols=["p_brand"])
