@@ -332,3 +332,31 @@ where revenue > q3 + 1.5 * (q3 - q1) or revenue < q1 - 1.5 * (q3 - q1)""")
 def q_brand_anomalies(spark, d):
     """B1-B3 per brand: each brand's own calendar span, IQR and flags."""
     return B.anomaly_days(sales(spark, d), multiplier=1.5, include_low=True, series_cols=["p_brand"])
+
+
+@register("brand_kpi_summary", Q.with_(Q.SALES) + """,
+bd as (select p_brand, date, sum(cast(revenue as decimal(38,2))) as rev, count(*) as n
+       from sales where date is not null group by p_brand, date),
+bb as (select p_brand, min(date) as s, max(date) as e from bd group by p_brand),
+bs as (select p_brand, cast(unnest(generate_series(cast(s as timestamp), cast(e as timestamp), interval 1 day)) as date) as date
+       from bb),
+bf as (select bs.p_brand, bs.date, coalesce(cast(bd.rev as double), 0.0) as revenue, coalesce(bd.n > 0, false) as has_sales
+       from bs left join bd on bs.p_brand = bd.p_brand and bs.date = bd.date),
+k as (select p_brand, count(*) as row_count,
+             coalesce(cast(sum(cast(revenue as decimal(38,2))) as double), 0.0) as total_revenue,
+             coalesce(sum(quantity), 0.0) as total_quantity, count(distinct product_name) as product_variety,
+             cast(sum(cast(unit_price as decimal(38,2))) as double) / nullif(count(unit_price), 0) as avg_price
+      from sales where date is not null group by p_brand),
+dd as (select p_brand, sum(cast(revenue as decimal(38,2))) as rev_all, count(*) as days,
+              sum(case when has_sales then cast(revenue as decimal(38,2)) end) as rev_sales,
+              count(case when has_sales then 1 end) as sales_days
+       from bf group by p_brand)
+select k.p_brand, k.row_count, round_even(k.total_revenue, 2) as total_revenue,
+       round_even(k.total_quantity, 2) as total_quantity, k.product_variety,
+       round_even(k.avg_price, 2) as average_unit_price,
+       round_even(cast(dd.rev_all as double) / nullif(dd.days, 0), 2) as avg_daily_revenue_all_days,
+       round_even(cast(dd.rev_sales as double) / nullif(dd.sales_days, 0), 2) as avg_daily_revenue_sales_days
+from k left join dd on k.p_brand = dd.p_brand""")
+def q_brand_kpi(spark, d):
+    """A4 + A7 per brand in one plan (calendar per brand)."""
+    return A.kpi_summary(sales(spark, d), series_cols=["p_brand"])
