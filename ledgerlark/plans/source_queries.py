@@ -16,7 +16,7 @@ EXTRAS = ["discount", "l_returnflag", "p_brand", "p_type", "order_date"]
 
 
 def sales_extras(spark, d):
-    return sales(spark, d, with_orders=True)
+    return sales(spark, d, with_orders=True, spread_scan=True)
 
 
 _PROFILE_COLS = ["position", "column", "missing_ratio", "numeric_ratio", "date_parse_ratio",

@@ -20,7 +20,7 @@ EXTRAS = ["discount", "l_returnflag", "p_brand"]
 
 
 def weekly(spark, d, series=()):
-    return W.weekly_features(sales(spark, d), EXTRAS, series, numeric_extras=["discount"])
+    return W.weekly_features(sales(spark, d, spread_scan=True), EXTRAS, series, numeric_extras=["discount"])
 
 
 def _r6(df, cols):
