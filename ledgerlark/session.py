@@ -9,7 +9,9 @@ set here only when missing.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,27 +43,36 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint dir; create a scratch one only if unset.
+    """The session's ``spark.checkpoint.dir``: a folder that driver and executors share.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  The fallback exists for local tests only.
+    Only a ``local`` master, where there is one machine, gets a scratch folder when the
+    setting is missing; any other session must name one.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    path = tempfile.mkdtemp(prefix="ledgerlark-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local($|\[)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ledgerlark-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never localCheckpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage like a checkpoint, and the reread table has a known size, so that joins on it
+    are planned by it.  The files stay until the folder's own retention removes them.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
