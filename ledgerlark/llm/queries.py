@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode_documents
 from .minhash_dedup import minhash_components
+from .source_mix import mix_sources
+from .substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +30,81 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of ``documents``: 4-word shingles, Jaccard similarity 0.8 or more."""
     return minhash_components(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@_query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` left after the removal of every repeated window of 35 words."""
+    return (remove_repeats(_table(spark, sf_dir, "documents"), width=35, want_text=False)
+            .select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256")))
+
+
+ORACLES["op4_substring_dedup"] = r"""
+with words as (
+  select rowid as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from (select row_number() over (order by doc_id) as rowid, doc_id, text from documents)),
+starts as (select r, unnest(range(1, len(w) - 33)) as i, w from words where len(w) >= 35),
+windows as (select r, i, md5(array_to_string(w[i:i + 34], ' ')) as h from starts),
+places as (select r, i from windows where h in (select h from windows group by h having count(*) > 1)),
+gone as (select distinct r, i + j as i from places, (select unnest(range(0, 35)) as j)),
+kept as (
+  select r, array_to_string(list(word order by i), ' ') as kept, count(*) as n from (
+    select r, unnest(w) as word, generate_subscripts(w, 1) as i from words) s
+  where not exists (select 1 from gone g where g.r = s.r and g.i = s.i) group by r)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from words left join kept using (r)
+"""
+
+
+@_query
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of ``documents`` and what they decode to, as digests."""
+    return encode_documents(_table(spark, sf_dir, "documents"),
+                            public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN,
+                            outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def label_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling weight by label: 1.5 for good quality, 0.5 for bad (documents without a label count as 1)."""
+    return _table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 0.5).alias("weight"))
+
+
+@_query
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of ``documents`` mixed at weights 1, 2, 3, repeating; at most three epochs."""
+    return (mix_sources(_table(spark, sf_dir, "documents"), label_weights(spark, sf_dir))
+            .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+ORACLES["op8_source_mix"] = r"""
+with weight as (select doc_id, avg(quality + 0.5) as q from labels group by doc_id),
+sized as (
+  select d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+         case when q > 0 then q else 1.0 end as q,
+         (('0x' || md5(coalesce(d.doc_id::varchar, '') || ':' || coalesce(md5(text), ''))[1:12])::bigint + 0.5)
+           / 281474976710656.0 as u
+  from documents d left join weight w on d.doc_id = w.doc_id),
+keyed as (select *, -ln(u) / q as key from sized),
+totals as (select source, sum(size) as source_size from sized group by source),
+ranked as (select *, (row_number() over (order by source is null, encode(source)) - 1) % 3 + 1 as weight,
+                  3 * source_size as cap from totals),
+ratio as (select *, cap / weight as r from ranked),
+filled as (
+  select *, sum(cap) over below + r * (sum(weight) over () - sum(weight) over below) <= sum(source_size) over () as is_full
+  from ratio window below as (order by r range between unbounded preceding and current row)),
+targets as (
+  select source, source_size,
+         case when is_full then cap::double
+              else least(cap::double, weight * (sum(source_size) over () - coalesce(sum(cap) filter (is_full) over (), 0))
+                   / sum(weight) filter (not is_full) over ()) end as target
+  from filled),
+running as (
+  select k.*, t.source_size, t.target, case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as epochs,
+         sum(size) over (partition by k.source order by key, doc_id, size rows unbounded preceding) as upto
+  from keyed k join targets t on k.source is not distinct from t.source)
+select doc_id, size, source_size::bigint as source_size, target::double as target,
+       (case when size = 0 then 0 else size * (epochs
+         + (upto - size / 2 <= target - epochs * source_size)::int) end)::bigint as taken
+from running
+"""
