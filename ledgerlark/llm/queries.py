@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .line_templates import drop_recurring_lines
 from .minhash_dedup import minhash_components
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
@@ -108,3 +109,49 @@ select doc_id, size, source_size::bigint as source_size, target::double as targe
          + (upto - size / 2 <= target - epochs * source_size)::int) end)::bigint as taken
 from running
 """
+
+
+@_query
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ``documents`` left after the removal of templates that recur across documents."""
+    return (drop_recurring_lines(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")))
+
+
+ORACLES["op6_line_templates"] = r"""
+with docs as (select row_number() over () as r, doc_id, text, string_split(text, chr(10)) as parts from documents),
+cut as (
+  select r, text, i, trim(parts[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as line,
+         coalesce(parts[i - 1], '') || chr(10) || coalesce(parts[i + 1], '') || chr(10) || (i = 1) || (i = len(parts)) as context
+  from (select *, unnest(range(1, len(parts) + 1)) as i from docs)),
+lines as (
+  select *, regexp_split_to_array(line, '[\x20\x09-\x0D]+') as w from cut where line <> ''),
+words as (
+  select *, case when regexp_matches(w[1], '[0-9]') then '<*>' else w[1] end as w1,
+            case when regexp_matches(w[2], '[0-9]') then '<*>' else w[2] end as w2,
+            case when regexp_matches(w[3], '[0-9]') then '<*>' else w[3] end as w3 from lines),
+leafed as (select *, concat_ws('|', len(w)::varchar, w1, w2, w3) as leaf from words),
+hits as (select * from leafed where leaf in (select leaf from leafed group by leaf having count(distinct text) >= 8)),
+uniq as (select leaf, line, any_value(w) as w, count(distinct text) as texts from hits group by leaf, line),
+cells as (
+  select leaf, line, texts, pos, case when regexp_matches(word, '[0-9]') then '<*>' else word end as word
+  from (select leaf, line, texts, unnest(w) as word, generate_subscripts(w, 1) as pos from uniq)),
+const as (select leaf, pos, word from cells where word <> '<*>' group by all having sum(texts) >= 8),
+templates as (
+  select c.leaf, c.line, string_agg(coalesce(k.word, '<*>'), ' ' order by c.pos) as template
+  from cells c left join const k on c.leaf = k.leaf and c.pos = k.pos and c.word = k.word
+  group by c.leaf, c.line having count(k.word) >= 0.5 * count(*)),
+placed as (select h.r, h.text, h.i, h.context, t.template from hits h join templates t on h.leaf = t.leaf and h.line = t.line),
+recurring as (
+  select template from placed group by template
+  having count(distinct text) >= 8 and count(distinct context) >= 0.5 * count(distinct text)),
+gone as (select distinct r, i from placed where template in (select template from recurring)),
+kept as (
+  select d.r, string_agg(d.part, chr(10) order by d.i) as kept
+  from (select r, unnest(parts) as part, generate_subscripts(parts, 1) as i from docs) d
+  where not exists (select 1 from gone g where g.r = d.r and g.i = d.i) group by d.r)
+select doc_id, coalesce(len(parts), 0)::bigint as n_lines,
+       (select count(*) from gone g where g.r = docs.r)::bigint as n_dropped,
+       sha256(coalesce(kept, '')) as kept_sha256
+from docs left join kept using (r)
+"""
