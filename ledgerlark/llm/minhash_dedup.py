@@ -124,27 +124,60 @@ def _linked(percent: int):
     return run
 
 
-def _near_in_block(percent: int):
-    """Pairs of different components in one cell of a key's block grid, within the signature distance."""
-    def run(rows):
-        import pandas as pd
-
-        left, right = rows[rows.side == 0], rows[rows.side == 1]
-        out_a, out_b = [], []
-        sym = {s: np.frombuffer(b"".join(part.signature), np.uint16).reshape(-1, SYMBOLS)
-               for s, part in ((0, left), (1, right))}
-        ids, comp, size = right.id.to_numpy(), right.component.to_numpy(), right.n_shingles.to_numpy()
-        for i, (a, c, n) in enumerate(zip(left.id, left.component, left.n_shingles)):
-            ok = (comp != c) & (ids != a) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))
-            at = np.flatnonzero(ok)
-            at = at[(sym[1][at] != sym[0][i]).sum(1) <= MAX_DISTANCE]
-            out_a.append(np.minimum(ids[at], a))
-            out_b.append(np.maximum(ids[at], a))
-        empty = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(out_a or empty), "b": np.concatenate(out_b or empty)})
+def _segments(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """Split a sorted stream into runs of rows that agree in the first ``by`` columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:by]]
+        cut = np.flatnonzero(np.any([n[1:] != n[:-1] for n in names], axis=0)) + 1
+        edges = [0, *cut.tolist(), batch.num_rows]
+        if held and last != tuple(n[0] for n in names):
+            yield pa.Table.from_batches(held)
+            held = []
+        for lo, hi in zip(edges[:-2], edges[1:-1]):
+            yield pa.Table.from_batches([*held, batch.slice(lo, hi - lo)])
+            held = []
+        held.append(batch.slice(edges[-2]))
+        last = tuple(n[-1] for n in names)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near_in_cells(percent: int):
+    """Pairs of different components in each cell of a key's block grid, within the signature distance.
+
+    ``side`` tells the rows of the cell (0) from its columns (1); a cell of the diagonal has side 2 only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for cell in _segments(batches, 3):
+            side, ids, comp, size = (cell.column(i).to_numpy() for i in (3, 4, 5, 6))
+            symbols = np.frombuffer(b"".join(cell.column(7).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            for i in np.flatnonzero(side != 1).tolist():
+                lo = i + 1 if side[i] == 2 else int(np.searchsorted(side, 1))
+                low, high = np.minimum(size[lo:], size[i]), np.maximum(size[lo:], size[i])
+                at = lo + np.flatnonzero((comp[lo:] != comp[i]) & (ids[lo:] != ids[i]) & (100 * low >= percent * high))
+                if len(at):
+                    at = at[(symbols[at] != symbols[i]).sum(1) <= MAX_DISTANCE]
+                if len(at):
+                    found.append((np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])))
+                    n += len(at)
+            if n > 50_000:
+                yield _pairs(found)
+                found, n = [], 0
+        if found:
+            yield _pairs(found)
     return run
 
 
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.stack(f, 1) for f in found]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -173,12 +206,13 @@ def _cross_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame
     cells = (members.join(mixed, "key").join(reps.select("id", "n_shingles", "signature"), "id")
              .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
              .withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    grid = (cells.where("own <= other").withColumns({"r": F.col("own"), "c": F.col("other"), "side": F.lit(0)})
-            .unionByName(cells.where("other <= own")
-                         .withColumns({"r": F.col("other"), "c": F.col("own"), "side": F.lit(1)})))
-    return (grid.select("key", "r", "c", "side", "id", "component", "n_shingles", "signature")
-            .groupBy("key", "r", "c").applyInPandas(_near_in_block(percent), "a long, b long").distinct())
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumns({"r": F.least("own", "other"), "c": F.greatest("own", "other"),
+                           "side": F.when(F.col("own") == F.col("other"), 2)
+                           .otherwise((F.col("own") > F.col("other")).cast("int"))}))
+    return (cells.select("key", "r", "c", "side", "id", "component", "n_shingles", "signature")
+            .repartition("key", "r", "c").sortWithinPartitions("key", "r", "c", "side")
+            .mapInArrow(_near_in_cells(percent), "a long, b long").distinct())
 
 
 def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
