@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .language_id import held_out, identify_languages
 from .line_templates import drop_recurring_lines
 from .minhash_dedup import minhash_components
 from .source_mix import mix_sources
@@ -155,3 +156,10 @@ select doc_id, coalesce(len(parts), 0)::bigint as n_lines,
        sha256(coalesce(kept, '')) as kept_sha256
 from docs left join kept using (r)
 """
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by rank-order profiles of the documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify_languages(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
