@@ -14,6 +14,7 @@ from .line_templates import drop_recurring_lines
 from .minhash_dedup import minhash_components
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
+from .winnowing import edited_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +164,9 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by rank-order profiles of the documents that are not held out."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify_languages(docs).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op2_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowing fingerprints of ``documents``, of their edited texts and of the next documents, compared."""
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
