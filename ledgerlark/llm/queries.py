@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_documents
+from .embedding_dedup import embedding_components
 from .language_id import held_out, identify_languages
 from .line_templates import drop_recurring_lines
 from .minhash_dedup import minhash_components
@@ -170,3 +171,24 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowing fingerprints of ``documents``, of their edited texts and of the next documents, compared."""
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of ``embeddings``: equal labels and cosine 0.98 or more."""
+    return embedding_components(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+ORACLES["op1_embedding_near_dedup"] = r"""
+with recursive unit as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null),
+links as (
+  select a.vec_id as a, b.vec_id as b from unit a join unit b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, other) as (
+  select vec_id, vec_id from embeddings union select r.vec_id, l.b from reach r join links l on l.a = r.other)
+select r.vec_id, (select count(*) from links l where l.a = r.vec_id)::bigint as n_links,
+       min(r.other) as component_id, min(r.other) = r.vec_id as kept
+from reach r group by r.vec_id
+"""
