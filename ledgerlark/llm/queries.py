@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .backoff_lm import backoff_scores
 from .bpe import encode_documents
 from .embedding_dedup import embedding_components
 from .language_id import held_out, identify_languages
@@ -15,6 +16,7 @@ from .line_templates import drop_recurring_lines
 from .minhash_dedup import minhash_components
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
+from .trie_counts import count_tokens, load_piece_scores
 from .winnowing import edited_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +194,16 @@ select r.vec_id, (select count(*) from links l where l.a = r.vec_id)::bigint as
        min(r.other) as component_id, min(r.other) = r.vec_id as kept
 from reach r group by r.vec_id
 """
+
+
+@_query
+def op3_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff trigram score of every document by the counts of all others."""
+    return backoff_scores(_table(spark, sf_dir, "documents"), order=3)
+
+
+@_query
+def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under a unigram reading of a public piece vocabulary."""
+    return count_tokens(_table(spark, sf_dir, "documents"),
+                        load_piece_scores(public_tokenizers.path("piece_bpe_32k.model")))
