@@ -161,6 +161,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """Fit on the documents that are not held out and predict all: ``docs`` + ``lang_pred``, ``score``."""
-    return predict_languages(docs, fit_profiles(docs.where(~held_out()), fit_docs))
+def identify_languages(docs: DataFrame, fit_docs: int = FIT_DOCS, pred: str = "lang_pred",
+                       score: str = "score") -> DataFrame:
+    """Fit on the documents that are not held out and predict all: ``docs`` with columns ``pred`` and ``score``."""
+    return predict_languages(docs, fit_profiles(docs.where(~held_out()), fit_docs), pred, score)

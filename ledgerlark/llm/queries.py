@@ -107,7 +107,7 @@ targets as (
   from filled),
 running as (
   select k.*, t.source_size, t.target, case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end as epochs,
-         sum(size) over (partition by k.source order by key, doc_id, size rows unbounded preceding) as upto
+         sum(size) over (partition by k.source order by key, doc_id) as upto
   from keyed k join targets t on k.source is not distinct from t.source)
 select doc_id, size, source_size::bigint as source_size, target::double as target,
        (case when size = 0 then 0 else size * (epochs

@@ -60,18 +60,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int)
 
 def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3),
                 max_epochs: int = 3) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, size, source, source_size, target, taken, copies).
+    """One row per row of ``docs``: (doc_id, size, source, source_size, target, taken, copies, row_key).
 
     ``docs`` needs ``doc_id``, ``text``, ``source``; ``quality`` may give (doc_id, weight > 0) and counts as 1
     where it has no row, more than one row (the mean counts) or a weight that is null or not positive.
     ``size`` is the number of words (null or empty text: 0), ``copies`` how often the mix takes the document
-    and ``taken = copies * size``.  Null is a source of its own.  Equal documents are separate documents with
-    equal keys; ties are taken in order of doc_id, and rows equal in all of it in one step.  Only these
+    and ``taken = copies * size``.  Null is a source of its own.  Copies under other ids are other documents; rows
+    equal in doc_id, text and source share ``row_key`` and are taken together or not at all.  Only these
     columns are read; an empty table gives an empty result.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                         F.col("text").cast("string").alias("text"))
-    sized = sized.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    sized = sized.select("doc_id", "source", F.xxhash64("doc_id", "text", "source").alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
                          .cast("long").alias("size"), uniform(F.col("doc_id"), F.md5("text")).alias("u"))
     if quality is not None:
         weight = (quality.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("q_id"))
@@ -103,8 +103,8 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
         F.when(F.col("offset") + F.col("in_bucket") <= F.col("__budget"), 1)
         .when(F.col("offset") > F.col("__budget"), 0).alias("settled")), "buckets")
     known = placed.join(buckets, F.expr("size > 0 and source <=> __source and bucket = __bucket"), "left")
-    upto = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
-                              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "row_key")
+                              .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     # taken while its middle word is within the budget: the sum ends nearest to it
     edge = (known.where("size > 0 and settled is null")
             .withColumn("extra", (F.col("offset") + upto - F.col("size") / 2 <= F.col("budget")).cast("int")))
@@ -112,4 +112,16 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
     return (rest.unionByName(edge)
             .withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("epochs") + F.col("extra")).cast("long"))
             .select("doc_id", "size", "source", "source_size", "target",
-                    (F.col("copies") * F.col("size")).alias("taken"), "copies"))
+                    (F.col("copies") * F.col("size")).alias("taken"), "copies", "row_key"))
+
+
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3),
+                    max_epochs: int = 3) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; all columns stay."""
+    taken = (mix_sources(docs, quality, weights, max_epochs).where("copies > 0")
+             .groupBy(F.col("row_key").alias("__key")).agg(F.max("copies").alias("__copies")))
+    keyed = docs.withColumn("__own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"),
+                                                F.col("source").cast("string")))
+    return (keyed.join(taken, keyed["__own"] == taken["__key"])
+            .withColumn("__copy", F.explode(F.expr("sequence(1, cast(__copies as int))")))
+            .drop("__own", "__key", "__copies", "__copy"))
