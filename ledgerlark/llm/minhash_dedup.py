@@ -10,8 +10,13 @@ with probability over 0.9999.
 
 Candidates are settled without enumerating a key's pairs: first every document against the smallest
 of its key (a star); after these links are verified and joined into components, only pairs of
-*different* components that share a key remain.  They are compared block by block on signatures, and
-pairs within the distance are verified.  Verification is exact: intersection and union of the full
+*different* components that share a key remain.  They are compared block by block: a pair is passed on if
+its signatures lie within the distance, its sets can be similar at all, and its long signatures agree.
+For the second each document of the remaining keys knows how many of its shingles another such document
+has; two documents share no more than the lesser of these numbers.  Long signatures (``LONG_SYMBOLS``) are
+made for these documents only; at the similarity asked for, one pair in a million differs more.  So copies
+that were each edited by themselves, a family whose members stay below the threshold, are compared inside
+the cells and not handed on pair by pair.  Verification is exact: intersection and union of the full
 shingle sets.  Documents with equal shingle sets are one class with one representative.
 """
 
@@ -31,11 +36,12 @@ from .words import mix, whole_hash, window_hashes, word_slices
 SYMBOLS, BITS = 64, 16
 CHUNKS, ERRORS = 14, 1
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
+LONG_SYMBOLS, LONG_SIGMAS = 512, 4.75
 BLOCK = 512
 
 _RNG = np.random.default_rng(20)
-_MUL = _RNG.integers(0, 1 << 63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, SYMBOLS, np.uint64)
+_MUL = _RNG.integers(0, 1 << 63, SYMBOLS + LONG_SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, SYMBOLS + LONG_SYMBOLS, np.uint64)
 _EDGES = [SYMBOLS * c // CHUNKS for c in range(CHUNKS + 1)]
 # (chunk, symbols that must agree) for every chunk and every choice of one position left out
 _KEYS = [(c, [p for p in range(_EDGES[c], _EDGES[c + 1]) if p != out])
@@ -56,12 +62,21 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def _minima(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
+    least = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(shingles), 1024):
+        np.minimum(least, (shingles[lo:lo + 1024, None] * mul + add).min(0), out=least)
+    return mix(least)
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """b-bit minhash symbols of a non-empty shingle set."""
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(shingles), 4096):
-        np.minimum(least, (shingles[lo:lo + 4096, None] * _MUL + _ADD).min(0), out=least)
-    return mix(least).astype(np.uint16)
+    return _minima(shingles, _MUL[:SYMBOLS], _ADD[:SYMBOLS]).astype(np.uint16)
+
+
+def long_signature(shingles: np.ndarray) -> np.ndarray:
+    """More minhash symbols, of one byte each, by other hash functions."""
+    return _minima(shingles, _MUL[SYMBOLS:], _ADD[SYMBOLS:]).astype(np.uint8)
 
 
 def signature_keys(symbols: np.ndarray) -> np.ndarray:
@@ -109,6 +124,21 @@ def _set_rows(width: int):
     return run
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            ids = batch.column(0).slice(lo, 256).to_numpy(zero_copy_only=False)
+            sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1).slice(lo, 256)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(sets)), pa.array(np.repeat(ids, [len(s) for s in sets]))], ["shingle", "id"])
+
+
+def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        signs = [long_signature(np.frombuffer(s.as_buffer(), np.uint64)).tobytes() for s in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs, pa.binary())], ["id", "long"])
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,18 +180,25 @@ def _near_in_cells(percent: int):
     """Pairs of different components in each cell of a key's block grid, within the signature distance.
 
     ``side`` tells the rows of the cell (0) from its columns (1); a cell of the diagonal has side 2 only."""
+    similar = percent / 100
+    far = LONG_SYMBOLS * (1 - similar) + LONG_SIGMAS * (LONG_SYMBOLS * similar * (1 - similar)) ** 0.5
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
         for cell in _segments(batches, 3):
-            side, ids, comp, size = (cell.column(i).to_numpy() for i in (3, 4, 5, 6))
-            symbols = np.frombuffer(b"".join(cell.column(7).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            side, ids, comp, size, common = (cell.column(i).to_numpy() for i in range(3, 8))
+            symbols = np.frombuffer(b"".join(cell.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            more = np.frombuffer(b"".join(cell.column(9).to_pylist()), np.uint8).reshape(-1, LONG_SYMBOLS)
             for i in np.flatnonzero(side != 1).tolist():
                 lo = i + 1 if side[i] == 2 else int(np.searchsorted(side, 1))
-                low, high = np.minimum(size[lo:], size[i]), np.maximum(size[lo:], size[i])
-                at = lo + np.flatnonzero((comp[lo:] != comp[i]) & (ids[lo:] != ids[i]) & (100 * low >= percent * high))
+                most = np.minimum(common[lo:], common[i])  # of the intersection
+                at = lo + np.flatnonzero((comp[lo:] != comp[i]) & (ids[lo:] != ids[i])
+                                         & (100 * most >= percent * (size[lo:] + size[i] - most)))
                 if len(at):
                     at = at[(symbols[at] != symbols[i]).sum(1) <= MAX_DISTANCE]
+                if len(at):
+                    at = at[(more[at] != more[i]).sum(1) <= far]
                 if len(at):
                     found.append((np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])))
                     n += len(at)
@@ -178,16 +215,36 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, shingles): the full shingle sets of the documents ``ids``."""
+    return keep_table(texts.join(ids, texts["doc_id"] == ids["id"]).select("id", "text")
+                      .mapInArrow(_set_rows(width), "id long, shingles binary").where("length(shingles) > 0"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = keep_table(texts.join(ids, texts["doc_id"] == ids["id"]).select("id", "text")
-                      .mapInArrow(_set_rows(width), "id long, shingles binary"), "sets")
     joined = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
               .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"))
     return joined.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _within(percent: int):
+    """Pairs whose sizes and signatures allow the similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy() for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (4, 5))
+            keep = pa.array((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((x != y).sum(1) <= MAX_DISTANCE))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+    return run
+
+
+def _near_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    sizes = reps.select("id", "n_shingles", "signature")
+    return (pairs.join(sizes.toDF("a", "n", "x"), "a").join(sizes.toDF("b", "m", "y"), "b")
+            .select("a", "b", "n", "m", "x", "y").mapInArrow(_within(percent), "a long, b long"))
+
+
 def _star_pairs(keys: DataFrame) -> DataFrame:
     least = keep_table(keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n"))
                        .where("n > 1").select("key", "a"), "least")
@@ -195,24 +252,35 @@ def _star_pairs(keys: DataFrame) -> DataFrame:
             .select("a", F.col("id").alias("b")).distinct())
 
 
-def _cross_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a key, within the signature distance.
+def _cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components that share a key.
 
     A key with n members is a grid of ceil(n / BLOCK) squared cells; a member joins the cells of its
     row and column, so that no task holds a whole key."""
     mixed = keep_table(members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                                   F.count("*").alias("n"))
                        .where("lo <> hi").select("key", "n"), "mixed")
-    cells = (members.join(mixed, "key").join(reps.select("id", "n_shingles", "signature"), "id")
+    members = keep_table(members.join(mixed, "key"), "mixed")
+    sets = _sets(texts, keep_table(members.select("id").distinct(), "ids"), width)
+    private = (sets.mapInArrow(_shingle_rows, "shingle long, id long").groupBy("shingle")
+               .agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+               .groupBy("id").agg(F.count("*").alias("private")))
+    known = sets.mapInArrow(_long_signatures, "id long, long binary")
+    reps = keep_table(reps.join(known, "id").join(private, "id", "left").select(
+        "id", "n_shingles", (F.col("n_shingles") - F.coalesce("private", F.lit(0))).alias("common"), "signature", "long"),
+        "mixed")
+    cells = (members.join(reps, "id")
              .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
              .withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumns({"r": F.least("own", "other"), "c": F.greatest("own", "other"),
                            "side": F.when(F.col("own") == F.col("other"), 2)
                            .otherwise((F.col("own") > F.col("other")).cast("int"))}))
-    return (cells.select("key", "r", "c", "side", "id", "component", "n_shingles", "signature")
-            .repartition("key", "r", "c").sortWithinPartitions("key", "r", "c", "side")
-            .mapInArrow(_near_in_cells(percent), "a long, b long").distinct())
+    pairs = (cells.select("key", "r", "c", "side", "id", "component", "n_shingles", "common", "signature",
+                          "long")
+             .repartition("key", "r", "c").sortWithinPartitions("key", "r", "c", "side")
+             .mapInArrow(_near_in_cells(percent), "a long, b long").distinct())
+    return _verified(keep_table(pairs, "pairs"), sets, percent)
 
 
 def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -223,7 +291,10 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     empty set and links with nothing.  Links: ``100 * intersection >= percent * union``, confirmed on full
     sets.  Rows that repeat a doc_id are one document, linked if any of its rows is.  A row without
     doc_id links with nothing: component_id null, kept true.  An empty table gives an empty result.
+    ``percent`` is 80 or more.
     """
+    if percent < 80:
+        raise ValueError("the signature distance is set for a similarity of 0.8 or more")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = keep_table(texts.mapInArrow(
         _sketch(width), "doc_id long, n_shingles long, set_key long, signature binary"), "sketch")
@@ -235,12 +306,13 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
             .where("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct())
     keys = keep_table(classes.select("id", "signature").repartition(F.col("id"))
                       .mapInArrow(_keys, "key long, id long"), "keys")
-    star = keep_table(_verified(keep_table(_star_pairs(keys), "pairs"), texts, width, percent), "links")
+    pairs = keep_table(_near_pairs(_star_pairs(keys), classes, percent), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    star = keep_table(_verified(pairs, _sets(texts, ids, width), percent), "links")
     near = keep_table(connected_components(star), "near")
     members = (keys.join(near, "id", "left")
                .select("key", "id", F.coalesce("component", "id").alias("component")))
-    cross = keep_table(_cross_pairs(members, classes, percent), "pairs")
-    rest = _verified(cross, texts, width, percent)
+    rest = _cross_links(members, classes, texts, width, percent)
     component = keep_table(connected_components(keep_table(
         star.unionByName(rest).unionByName(same), "links")), "component")
     return (sketch.join(component, sketch["doc_id"] == component["id"], "left")
