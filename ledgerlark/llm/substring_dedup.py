@@ -157,8 +157,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, want_text: bool = True)
     gram = min(GRAM, width)
     texts = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
              .withColumn("key", F.xxhash64("doc_id", "text")))
-    anchors = keep_table(texts.select("key", "text").mapInArrow(
-        lambda b: _gather(_anchor_rows(width, gram)(b)), "anchor long, key long, n int"), "anchors")
+    # read twice and made twice: hashing the texts again costs less than writing their anchors
+    anchors = texts.select("key", "text").mapInArrow(
+        lambda b: _gather(_anchor_rows(width, gram)(b)), "anchor long, key long, n int")
     wanted = (anchors.join(_repeated(anchors, "anchor", "n", "repeated"), "anchor")
               .groupBy("key").agg(F.collect_set("anchor").alias("anchors")))
     windows = keep_table(texts.join(wanted, "key").select("key", "text", "anchors").mapInArrow(
