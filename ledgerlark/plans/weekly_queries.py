@@ -354,7 +354,6 @@ def q_brand_summary(spark, d):
 
 
 
-
 def _summary_sql():
     from .catalog import REGISTRY
     return REGISTRY["forecast_summary"].sql
@@ -373,23 +372,38 @@ def q_trend(spark, d):
 
 @register("forecast_series")
 def q_forecast_series(spark, d):
-    return L.run_weekly_forecast(weekly(spark, d), with_forest=False)["series"]
+    return L.run_weekly_forecast(weekly(spark, d))["series"]
 
 
 @register("model_choice")
 def q_model_choice(spark, d):
-    return L.run_weekly_forecast(weekly(spark, d), with_forest=False)["choice"]
+    return L.run_weekly_forecast(weekly(spark, d))["choice"]
 
 
 @register("forest_forecast")
 def q_forest(spark, d):
-    """MLlib random forest test predictions (single series)."""
+    """MLlib random forest: test predictions and 12 future weeks."""
     wk = weekly(spark, d)
     split = L.train_test_split(wk)
-    return L.forest_forecast(split, L.feature_selection(split))
+    return L.forest_forecast(split, wk, L.feature_selection(split))
 
 
 @register("future_forecast")
 def q_future(spark, d):
-    """12-week forecast of the chosen model (baseline or ridge)."""
-    return L.run_weekly_forecast(weekly(spark, d), with_forest=False)["future"]
+    """12-week forecast of the model that wins."""
+    return L.run_weekly_forecast(weekly(spark, d))["future"]
+
+
+@register("forecast_series_horizons")
+def q_series_horizons(spark, d):
+    """Chart series cut at each horizon."""
+    return L.series_horizons(L.run_weekly_forecast(weekly(spark, d))["series"])
+
+
+@register("forecast_status", _ALL.replace("with ", "with ", 1) + _FEATS + """
+select count(*) filter (weekly_revenue is not null and revenue_lag_1 is not null and revenue_lag_2 is not null
+         and revenue_lag_4 is not null and rolling_revenue_4 is not null and rolling_revenue_8 is not null
+         and quantity_lag_1 is not null and rolling_quantity_4 is not null) as usable_rows, 'ok' as status
+from feats""")
+def q_status(spark, d):
+    return L.forecast_status(weekly(spark, d))
