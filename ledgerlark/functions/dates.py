@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PLACEHOLDER_VALUES
-from .text import is_placeholder
-
-TOKEN_PATTERN = "^\\D*(\\d+)\\D+(\\d+)(?:\\D+(\\d+))?"
 
 # Month names (Turkish and English, full and short) -> month number.
 # Fixed values.
@@ -38,32 +35,14 @@ _MONTH_NAME_DATE = ("(?i)^(\\d{1,2}\\s+(" + _MONTH_WORDS + ")[a-z]*\\.?,?\\s+\\d
                     "|(" + _MONTH_WORDS + ")[a-z]*\\.?\\s+\\d{1,2},?\\s+\\d{4})$")
 
 
-def _tok(text: Column, i: int) -> Column:
-    return F.nullif(F.regexp_extract(text, TOKEN_PATTERN, i), F.lit(""))
-
-
-def date_tokens(text: Column) -> dict[str, Column]:
-    """Split the first three digit runs; decide where the year sits."""
-    t1, t2, t3 = _tok(text, 1), _tok(text, 2), _tok(text, 3)
-    n1, n2, n3 = (t.try_cast("double") for t in (t1, t2, t3))
-    has_numeric = ~is_placeholder(text) & t1.isNotNull() & t2.isNotNull()
-    year_left = t3.isNotNull() & ((F.length(t1) == 4) | (n1 > 31))
-    left = F.when(year_left, n2).otherwise(n1)
-    right = F.when(year_left, n3).otherwise(n2)
-    return {"first_text": t1, "second_text": t2, "third_text": t3,
-            "first": n1, "second": n2, "third": n3, "year_left": year_left,
-            "left": left, "right": right, "has_numeric_date": has_numeric}
-
-
 def with_date_tokens(df: DataFrame, text_col: str, prefix: str = "_dt") -> DataFrame:
     """C10 as staged columns (``{prefix}_t1.._t3, _n1.._n3, _has, _yl,
     _left, _right``): later steps reference columns instead of repeating
     the regex tree, which keeps generated code small."""
     t = F.col(text_col)
     p = prefix
-    # the first three digit runs equal the groups of TOKEN_PATTERN: one
-    # regex pass; the text is already cleaned, so the placeholder test is a
-    # set lookup
+    # the first three digit runs by one regex pass; the text is already
+    # cleaned, so the placeholder test is a set lookup
     df = df.withColumns({f"{p}_runs": F.regexp_extract_all(t, F.lit("(\\d+)"), 1),
                          f"{p}_ph": t.isNull() | F.lower(t).isin(*PLACEHOLDER_VALUES)})
     df = df.withColumns({f"{p}_t1": F.try_element_at(F.col(f"{p}_runs"), F.lit(1)),
@@ -108,26 +87,6 @@ def _safe_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(ok, F.try_to_date(txt, "yyyy-MM-dd"))
 
 
-def parse_numeric_date(text: Column, order: Column) -> Column:
-    """Numeric date with the detected order (``day_month``/``month_day``).
-
-    NULL when the order is undecided, when the value conflicts with the
-    order, when there is no year token, or when the calendar day is invalid.
-    """
-    tk = date_tokens(text)
-    t1, t3 = tk["first_text"], tk["third_text"]
-    has_year = tk["has_numeric_date"] & t3.isNotNull()
-    year_left = (F.length(t1) == 4) | (tk["first"] > 31)
-    year = _normalize_year(F.when(year_left, tk["first"]).otherwise(tk["third"]))
-    left, right = tk["left"], tk["right"]
-    day = F.when(order == "day_month", left).otherwise(right)
-    month = F.when(order == "day_month", right).otherwise(left)
-    conflict = F.when(order == "day_month", right > 12).otherwise(left > 12)
-    year_shape = (F.length(t3) <= 2) | (F.length(t3) == 4) | (tk["third"] > 31) | year_left
-    ok = order.isNotNull() & has_year & ~conflict & year_shape
-    return F.when(ok, _safe_date(year, month, day))
-
-
 def _month_map() -> Column:
     pairs = []
     for num, names in MONTH_NAMES.items():
@@ -143,28 +102,21 @@ def _month_number(word: Column) -> Column:
 
 def parse_text_date(text: Column, order: Column) -> Column:
     """Month-name dates without two number groups (``Ocak 2024``,
-    ``January 2024``, ``2024 Mart``) -> first of that month.
+    ``January-2024``, ``2024/Mart``) -> first of that month.
 
     Only used when a date order was detected (Q2) and the value does not
-    have two numeric tokens (Q3).
+    have two numeric tokens (Q3).  A month without a year is not read: it would
+    depend on the day of the run.
     """
-    # "<month> <yyyy>" or "<yyyy> <month>" -> "<month> <yyyy>" by one rewrite
-    norm = F.regexp_replace(F.lower(text), "^\\s*(\\d{4})\\s+(\\p{L}+)\\.?\\s*$", "$2 $1")
-    m = F.regexp_extract(norm, "^\\s*(\\p{L}+)\\.?,?\\s+(\\d{4})\\s*$", 1)
-    y = F.regexp_extract(norm, "^\\s*(\\p{L}+)\\.?,?\\s+(\\d{4})\\s*$", 2)
-    month = _month_number(m)
-    year = F.nullif(y, F.lit("")).try_cast("int")
+    # "<yyyy> <month>" -> "<month> <yyyy>"; blanks, -, /, . and , part the two
+    gap = "[\\s\\-/.,]+"
+    norm = F.regexp_replace(F.lower(text), "^\\s*(\\d{4})" + gap + "(\\p{L}+)\\.?\\s*$", "$2 $1")
+    shape = "^\\s*(\\p{L}+)" + gap + "(\\d{4})\\s*$"
+    month = _month_number(F.regexp_extract(norm, shape, 1))
+    year = F.nullif(F.regexp_extract(norm, shape, 2), F.lit("")).try_cast("int")
     return F.when(order.isNotNull(), _safe_date(year, month, F.lit(1)))
 
 
-def parse_date(text: Column, order: Column) -> Column:
-    """Ordered numeric parse, text-month fallback for the other rows."""
-    tk = date_tokens(text)
-    numeric = parse_numeric_date(text, order)
-    fallback = F.when(~tk["has_numeric_date"] & ~is_placeholder(text), parse_text_date(text, order))
-    return F.when(tk["has_numeric_date"], numeric).otherwise(fallback)
-
-
 def is_date_like(text: Column, numeric_value: Column) -> Column:
     """Not a number, has a digit, and reads as a date (day first).
 

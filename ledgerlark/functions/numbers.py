@@ -114,17 +114,18 @@ def parse_number_lenient(c: Column) -> Column:
 def parse_number_fallback(c: Column) -> Column:
     """Price-text fallback for values C4 could not parse.
 
-    First number token; thousands separators removed when the token has the
-    grouping shape (``1.234.567``, ``1,234,567``), else the decimal-mark rule,
-    else comma -> dot.
+    First number token with the minus directly before it; thousands separators
+    removed when the token has the grouping shape (``1.234.567``,
+    ``-1,234,567``), else the decimal-mark rule, else comma -> dot.  A minus that
+    follows a digit is a separator, and parentheses are no sign.
     """
     return fallback_from_clean(null_placeholders(c))
 
 
 def fallback_from_clean(cleaned: Column) -> Column:
     """C5 on already cleaned, placeholder-free text."""
-    token = F.regexp_extract(cleaned, "[0-9][0-9.,]*[0-9]|[0-9]", 0)
-    grouped = token.rlike("^[0-9]{1,3}([.][0-9]{3})+$|^[0-9]{1,3}([,][0-9]{3})+$")
+    token = F.regexp_extract(cleaned, "((?<![0-9])-)?([0-9][0-9.,]*[0-9]|[0-9])", 0)
+    grouped = token.rlike("^-?[0-9]{1,3}([.][0-9]{3})+$|^-?[0-9]{1,3}([,][0-9]{3})+$")
     candidate = F.when(grouped, F.translate(token, ".,", "")).otherwise(_decimal_mark(token))
     return _shaped_double(candidate)
 

@@ -83,14 +83,8 @@ def clean_product_name(c: Column) -> Column:
 
 def normalize_name(c: Column) -> Column:
     """Column-name normalization to ``[a-z0-9 ]`` words."""
-    text = strip_ws(F.lower(c))
-    text = F.replace(text, F.lit("i̇"), F.lit("i"))
-    text = F.translate(text, NAME_FOLD_FROM, NAME_FOLD_TO)
-    text = F.translate(text, ACCENT_FROM, ACCENT_TO)
-    text = F.regexp_replace(text, "[\\p{M}]", "")
-    text = F.regexp_replace(text, "(?U)[\\s\\-_]+", " ")
-    text = F.regexp_replace(text, "[^a-z0-9]+", " ")
-    return strip_ws(F.regexp_replace(text, "\\s+", " "))
+    plain = F.translate(F.lower(c), NAME_FOLD_FROM + ACCENT_FROM, NAME_FOLD_TO + ACCENT_TO)
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, "\\p{M}", ""), "[^a-z0-9]+", " "))
 
 
 def contains_any(c: Column, keys) -> Column:

@@ -34,54 +34,8 @@ def _type_is(*types) -> Column:
     return F.col("dominant_type").isin(*types).cast("int")
 
 
-def _candidates(prof: DataFrame, target: str, score: Column, threshold: float) -> DataFrame:
-    s = round_even(score.cast("double"), 4)
-    return (prof.select(F.lit(target).alias("target"), "position", "column", s.alias("score"))
-                .where(F.col("score") >= threshold))
-
-
-def score_date(prof: DataFrame) -> DataFrame:
-    """K1: ``.5*has(date,tarih) + .5*(type=date)`` >= .5."""
-    return _candidates(prof, "date", _has(DATE_NAME_KEYS) * 0.5 + _type_is("date") * 0.5, 0.5)
-
-
-def score_product_name(prof: DataFrame) -> DataFrame:
-    """K2: not date/numeric * (.7*product words + .3*name words) >= .3."""
-    c = 1 - _type_is("date", "numeric")
-    return _candidates(prof, "product_name",
-                       c * (_has(PRODUCT_NAME_KEYS) * 0.7 + _has(PRODUCT_NAME_SECONDARY_KEYS) * 0.3), 0.3)
-
-
-def score_quantity(prof: DataFrame) -> DataFrame:
-    """K3: see module docs; >= .5."""
-    a, b = _has(QUANTITY_KEYS), _has(QUANTITY_AMOUNT_KEYS)
-    c = 1 - _has(QUANTITY_BLOCK_KEYS)
-    d = 1 - _type_is("date", "long_string")
-    e = (F.when(F.col("dominant_type") == "numeric", F.lit(1.0))
-          .when(F.col("dominant_type") == "short_string", F.lit(0.5)).otherwise(F.lit(0.0)))
-    return _candidates(prof, "quantity", c * d * (F.least(F.lit(1.0), a + b * 0.5) * 0.6 + e * 0.4), 0.5)
-
-
-def score_unit_price(prof: DataFrame) -> DataFrame:
-    """K4: not total/quantity words * numeric * min(1, .6 price + .4 unit + .2 currency) >= .6."""
-    c = 1 - _has(PRICE_BLOCK_KEYS)
-    d = _type_is("numeric")
-    e = F.col("has_currency").cast("int")
-    return _candidates(prof, "unit_price",
-                       c * d * F.least(F.lit(1.0), _has(PRICE_KEYS) * 0.6 + _has(PRICE_UNIT_KEYS) * 0.4 + e * 0.2),
-                       0.6)
-
-
-def score_discount(prof: DataFrame) -> DataFrame:
-    """K6: discount words * (numeric or short_string) * not price/total words >= .5."""
-    return _candidates(prof, "discount",
-                       _has(DISCOUNT_KEYS) * _type_is("numeric", "short_string") * (1 - _has(DISCOUNT_BLOCK_KEYS)),
-                       0.5)
-
-
 def revenue_formula_checks(raw: DataFrame, quantity: str | None, unit_price: str | None,
-                           discount: str | None = None, columns: Sequence[str] | None = None,
-                           sample_rows: int | None = None) -> DataFrame:
+                           discount: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
     """K7 for every candidate revenue column in one aggregation pass.
 
     Per column and formula: rows with parsed q, p, revenue (and discount),
@@ -101,9 +55,8 @@ def revenue_formula_checks(raw: DataFrame, quantity: str | None, unit_price: str
         return spark.createDataFrame([], schema)
     if discount in {quantity, unit_price}:
         discount = None
-    src = raw.limit(sample_rows) if sample_rows else raw
     # staged strict parses: each column's parse steps run once per row
-    staged = src.select(F.col(f"`{quantity}`").alias("_sq"), F.col(f"`{unit_price}`").alias("_sp"),
+    staged = raw.select(F.col(f"`{quantity}`").alias("_sq"), F.col(f"`{unit_price}`").alias("_sp"),
                         *([F.col(f"`{discount}`").alias("_sd")] if discount else []),
                         *[F.col(f"`{c}`").alias(f"_sr{i}") for i, c in enumerate(cols)])
     staged = with_strict_number(staged, "_sq", "_q")
@@ -139,23 +92,6 @@ def revenue_formula_checks(raw: DataFrame, quantity: str | None, unit_price: str
                         (F.col("_rk") == 1).alias("is_best")))
 
 
-def score_revenue(prof: DataFrame, formula: DataFrame | None = None) -> DataFrame:
-    """K5: not unit/quantity words * numeric * min(1, max(has revenue,
-    formula valid, .8 total + .2 amount + .2 currency)) >= .8."""
-    p = prof
-    if formula is not None:
-        z = (formula.where("is_best").select("column", F.col("is_valid").cast("int").alias("_z")))
-        p = prof.join(F.broadcast(z), "column", "left")
-    else:
-        p = prof.withColumn("_z", F.lit(0))
-    z = F.coalesce(F.col("_z"), F.lit(0))
-    inner = F.greatest(_has(REVENUE_KEYS).cast("double"), z.cast("double"),
-                       _has(REVENUE_TOTAL_KEYS) * 0.8 + _has(REVENUE_AMOUNT_KEYS) * 0.2
-                       + F.col("has_currency").cast("int") * 0.2)
-    score = (1 - _has(REVENUE_BLOCK_KEYS)) * _type_is("numeric") * F.least(F.lit(1.0), inner)
-    return _candidates(p, "revenue", score, 0.8)
-
-
 def _score_table(prof: DataFrame, formula: DataFrame | None) -> tuple[DataFrame, list]:
     """Profile rows (+ formula validity) and the (target, score, threshold)
     expressions of K1-K6."""

@@ -3,22 +3,19 @@
 All column statistics come from **one** aggregation pass over the table
 (conditional counts per column), then an unpivot to one row per column.
 The classification per value is a Catalyst expression (strict number parse,
-day-first date patterns); no Python runs per row.
-
-By default the whole table is profiled; ``sample_rows=n`` profiles the first
-``n`` rows instead (the reference looks at 10).
+day-first date patterns); no Python runs per row.  The whole table is profiled.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import is_date_like
-from ..functions.numbers import parse_number_strict, round_even, with_strict_number
+from ..functions.numbers import round_even, with_strict_number
 from ..functions.text import normalize_name, strip_ws
 from ..schema import CURRENCY_MARKERS
 
@@ -53,20 +50,6 @@ def column_summary(df: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def value_class(c: Column, dtype: T.DataType) -> Column:
-    """``empty`` / ``date`` / ``numeric`` / ``string`` per value."""
-    if isinstance(dtype, _DATES):
-        return F.when(c.isNull(), F.lit("empty")).otherwise(F.lit("date"))
-    if isinstance(dtype, _NUMERIC):
-        return F.when(c.isNull() | F.isnan(c.cast("double")), F.lit("empty")).otherwise(F.lit("numeric"))
-    s = c.cast("string")
-    num = parse_number_strict(s)
-    return (F.when(s.isNull(), F.lit("empty"))
-             .when(is_date_like(s, num), F.lit("date"))
-             .when(num.isNotNull(), F.lit("numeric"))
-             .otherwise(F.lit("string")))
-
-
 _CURRENCY_RE = "(?i)(" + "|".join(re.escape(m) for m in CURRENCY_MARKERS) + ")"
 _FOLDED_CURRENCY_RE = "(" + "|".join(NORMALIZED_CURRENCY) + ")"
 
@@ -90,8 +73,7 @@ def _name_currency(name: str) -> bool:
     return any(m in t for m in NORMALIZED_CURRENCY)
 
 
-def column_profile(df: DataFrame, sample_rows: int | None = None,
-                   with_samples: bool = True, sample_size: int = 10) -> DataFrame:
+def column_profile(df: DataFrame, with_samples: bool = True, sample_size: int = 10) -> DataFrame:
     """One row per column: normalized name, class counts, dominant type,
     mean string length, currency flag, sample values.
 
@@ -100,7 +82,6 @@ def column_profile(df: DataFrame, sample_rows: int | None = None,
     string values average more than 10 characters; all empty ->
     ``short_string``.
     """
-    src = df.limit(sample_rows) if sample_rows else df
     cols = df.columns
     # Unpivot to one row per cell: the classification expression exists once
     # whatever the column count (small generated code), and the per-column
@@ -108,7 +89,7 @@ def column_profile(df: DataFrame, sample_rows: int | None = None,
     kind = {i: ("date" if isinstance(df.schema[c].dataType, _DATES)
                 else "num" if isinstance(df.schema[c].dataType, _NUMERIC) else "text")
             for i, c in enumerate(cols)}
-    cells = src.select(F.explode(F.array(*[
+    cells = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(kind[i]).alias("kind"),
                  (F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("string"))
                   if kind[i] == "num" else F.col(f"`{c}`").cast("string")).alias("x"))
@@ -153,25 +134,21 @@ def column_profile(df: DataFrame, sample_rows: int | None = None,
 
 
 def _sample_values(df: DataFrame, k: int) -> DataFrame:
-    """First ``k`` non-null values per column from the head of the table
-    (a bounded ``limit``, like the reference's ``head``)."""
-    head = df.limit(max(k, 1) * 10)
-    parts = []
-    for c in df.columns:
-        parts.append(head.select(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v"))
-                         .where(F.col("v").isNotNull()))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("column").agg(F.slice(F.collect_list("v"), 1, k).alias("sample_values"))
+    """The first ``k`` non-null values of every column in table order, wherever they stand.
+
+    The rank filter cuts each task to ``k`` rows per column before the shuffle."""
+    cells = df.withColumn("_at", F.monotonically_increasing_id()).select("_at", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns])).alias("x"))
+    order = Window.partitionBy("column").orderBy("_at")
+    first = (cells.select("_at", "x.column", "x.v").where("v is not null")
+             .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k))
+    return (first.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("_r", "v"))).alias("_s"))
+            .select("column", F.col("_s.v").alias("sample_values")))
 
 
 def normalize_names(df: DataFrame) -> DataFrame:
     """P8 as a table: ``(position, column, normalized_name)``."""
-    spark = df.sparkSession
-    names = spark.createDataFrame([(i + 1, c) for i, c in enumerate(df.columns)],
-                                  "position int, column string")
-    return names.select("position", "column", normalize_name(F.col("column")).alias("normalized_name"))
+    return column_profile(df, with_samples=False).select("position", "column", "normalized_name")
 
 
 def value_class_counts(df: DataFrame) -> DataFrame:

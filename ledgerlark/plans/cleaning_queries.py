@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import date_tokens
-from ..functions.numbers import parse_number_lenient, parse_number_strict
+from ..functions.dates import with_date_tokens
+from ..functions.numbers import parse_number_fallback, parse_number_lenient, with_strict_number
 from ..functions.text import clean_product_name, clean_text, null_placeholders
 from ..operators.clean import clean_sales, standardize
 from ..sources.tables import DIRTY_MAPPING, dirty_sales
@@ -91,9 +91,9 @@ select h,
 from sales""")
 def q_strict(spark, d):
     raw = dirty_sales(spark, d)
-    return raw.select("h", parse_number_strict(F.col(QTY_SRC)).alias("quantity"),
-                      parse_number_strict(F.col(PRICE_SRC)).alias("unit_price"),
-                      parse_number_strict(F.col(REV_SRC)).alias("revenue"))
+    for source, name in ((QTY_SRC, "quantity"), (PRICE_SRC, "unit_price"), (REV_SRC, "revenue")):
+        raw = with_strict_number(raw, source, name)
+    return raw.select("h", "quantity", "unit_price", "revenue")
 
 
 @register("parse_number_lenient", Q.with_(Q.SALES) + """
@@ -136,8 +136,9 @@ select nullif(a, '') as first_text, nullif(b, '') as second_text, nullif(c, '')
 from t""")
 def q_date_tokens(spark, d):
     raw = dirty_sales(spark, d)
-    tk = date_tokens(clean_text(F.col(DATE_SRC)))
-    return raw.select(*[tk[k].alias(k) for k in ("first_text", "second_text", "third_text", "left", "right")])
+    tk = with_date_tokens(raw.select(clean_text(F.col(DATE_SRC)).alias("t")), "t")
+    names = {"t1": "first_text", "t2": "second_text", "t3": "third_text", "left": "left", "right": "right"}
+    return tk.select(*[F.col(f"_dt_{k}").alias(name) for k, name in names.items()])
 
 
 _TOKENS = """tk as (
@@ -215,20 +216,89 @@ def q_revenue_mismatch(spark, d):
     return cleaned_dirty(spark, d).revenue_mismatch()
 
 
-@register("clean_product_name_expr", _truth("select product_name from truth2"))
-def q_product_expr(spark, d):
-    return dirty_sales(spark, d).select(clean_product_name(F.col(PRODUCT_SRC)).alias("product_name"))
+def _grouped(value, mark):
+    """A whole number with thousands marks: only the fallback parser reads two or more marks."""
+    return F.regexp_replace(F.format_number(value, 0), ",", mark)
 
 
-@register("parse_number_fallback", Q.with_(Q.SALES) + "select h, unit_price from sales")
+@register("parse_number_fallback", Q.with_(Q.SALES) + """
+select h, cast(case h % 3 when 0 then 1 else -1 end * (1000000 + cast(floor(revenue) as bigint)) as double) as value
+from sales""")
 def q_fallback(spark, d):
-    from ..functions.numbers import parse_number_fallback
-    return dirty_sales(spark, d).select("h", parse_number_fallback(F.col(PRICE_SRC)).alias("unit_price"))
+    """``1.234.567``, ``-1.234.567`` and ``-1,234,567`` keep their value and sign."""
+    from ..sources.tables import sales
+    whole = F.col("h") * 0 + 1_000_000 + F.floor("revenue")
+    text = (F.when(F.col("h") % 3 == 0, _grouped(whole, "."))
+            .when(F.col("h") % 3 == 1, F.concat(F.lit("-"), _grouped(whole, ".")))
+            .otherwise(F.concat(F.lit("-"), _grouped(whole, ","), F.lit(" TL"))))
+    return sales(spark, d).select("h", parse_number_fallback(text).alias("value"))
+
+
+def _with_bad_dates(spark, d):
+    """``dirty`` with one date in 400 against the order and one in 500 with both sides over 12, by row number."""
+    raw = dirty_sales(spark, d)
+    bad = F.when(F.col("h") % 500 == 3, F.lit("25.25.2001")).when(F.col("h") % 400 == 6, F.lit("02.28.1997"))
+    return raw.withColumn(DATE_SRC, F.coalesce(bad, F.col(DATE_SRC)))
+
+
+_BAD = """, bad as (
+  select case when h % 500 = 3 then '25.25.2001' when h % 400 = 6 then '02.28.1997' end as value,
+         case when h % 500 = 3 then 'both_sides_over_12' when h % 400 = 6 then 'conflicts_with_inferred_date_order' end as reason
+  from sales)
+"""
 
 
-@register("date_issues")
+@register("date_issues", Q.with_(Q.SALES).rstrip() + _BAD + """
+select reason, value, count(*) as n from (
+  select reason, value from bad where reason is not null order by reason <> 'both_sides_over_12' limit 1000000) x group by all""")
 def q_date_issues(spark, d):
-    return cleaned_dirty(spark, d).date_issues()
+    """C16 on dates with planted defects; all issues, counted by reason and value."""
+    std = standardize(_with_bad_dates(spark, d), DIRTY_MAPPING, keep=TRUTH)
+    found = clean_sales(std, extras=TRUTH).date_issues(limit=1_000_000)
+    return found.groupBy("reason", "value").agg(F.count("*").alias("n"))
+
+
+def _numbered(spark, d):
+    """``dirty`` in the order of its truth, numbered by distinct rank per (h, date, product, quantity, revenue)."""
+    from pyspark.sql import Window
+    order = Window.partitionBy("h").orderBy("true_date", "true_product", "true_quantity", "true_revenue")
+    raw = dirty_sales(spark, d).withColumn("n", F.rank().over(order))
+    return raw.withColumn("at", F.col("h") * 1_000_000 + F.col("n")).drop("n")
+
+
+_NUMBERED = """, numbered as (
+  select s.*, h * 1000000 + rank() over (partition by h order by date, product_name, quantity, src_revenue) as row_id
+  from truth2 s)
+"""
+
+
+@register("cleaning_report_examples", Q.with_(Q.SALES, Q.CLEAN_TRUTH).rstrip() + _NUMBERED + """
+, found as (
+  select 'failed' as kind, 'quantity' as column_name, row_id, 10 as lim from numbered where quantity is null union all
+  select 'failed', 'revenue', row_id, 10 from numbered where revenue is null union all
+  select 'business_error', 'quantity', row_id, 10 from numbered where h % 50 = 8 union all
+  select 'filled', 'revenue', row_id, 10 from numbered where h % 20 = 5 and revenue is not null)
+select kind, column_name, r as rank, row_id from (
+  select *, row_number() over (partition by kind, column_name order by row_id) as r from found) x where r <= lim""")
+def q_examples(spark, d):
+    """First failed, refused and filled rows of each column."""
+    std = standardize(_numbered(spark, d), DIRTY_MAPPING, keep=["at"])
+    found = clean_sales(std.withColumnRenamed("at", "row_id"), row_id="row_id").examples()
+    return found.where("kind <> 'mismatch'").select("kind", "column_name", "rank", "row_id")
+
+
+@register("revenue_mismatch_examples", Q.with_(Q.SALES, Q.CLEAN_TRUTH).rstrip() + _NUMBERED + """
+select r as rank, row_id from (
+  select row_number() over (order by row_id) as r, row_id from numbered
+  where abs(round_even(quantity * unit_price, 2) - revenue * case when h % 90 = 11 then 2 else 1 end) > 0.05) x where r <= 20""")
+def q_mismatch_examples(spark, d):
+    """First rows whose revenue (doubled on some rows) is not quantity x price."""
+    raw = _numbered(spark, d)
+    doubled = F.concat(F.replace((F.col("true_revenue") * 2).cast("string"), F.lit("."), F.lit(",")), F.lit(" TL"))
+    raw = raw.withColumn(REV_SRC, F.when((F.col("h") % 90 == 11) & (F.col("h") % 20 != 5), doubled).otherwise(F.col(REV_SRC)))
+    std = standardize(raw, DIRTY_MAPPING, keep=["at"]).drop("discount")
+    found = clean_sales(std.withColumnRenamed("at", "row_id"), row_id="row_id").examples()
+    return found.where("kind = 'mismatch'").select("rank", "row_id")
 
 
 # Month names used to spell dates in words for the text-date round trip

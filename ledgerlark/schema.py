@@ -63,12 +63,29 @@ NUMERIC_MEASUREMENT_KEYWORDS = ["profit", "cost", "price", "amount", "shipping",
                                 "ship", "sales", "tax", "margin", "discount",
                                 "disc", "indirim", "fee", "total", "weight",
                                 "quantity", "qty"]
-DATE_KEYWORDS = ["date", "time", "ship", "delivery", "delivered"]
+IDENTIFIER_ENDINGS = ["id", "no", "code"]
+IDENTIFIER_PHRASES = ["e mail", "phone number"]
+STRONG_DATE_WORDS = ["date", "time", "delivery", "delivered"]
 MONTH_ABBREVIATIONS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug",
                        "sep", "oct", "nov", "dec"]
 HIGH_CARDINALITY_UNIQUE_LIMIT = 100
 HIGH_CARDINALITY_RATIO_LIMIT = 0.5
 PROFILE_MIN_NON_MISSING_RATIO = 0.2
+# Rules for the role of an extra column, in order: rule, role, reason (fixed values).
+EXTRA_COLUMN_RULES = [
+    ("constant", "excluded", "constant column"),
+    ("sparse", "excluded", "too many missing values"),
+    ("discount", "numeric_measurement", "selected discount column"),
+    ("identifier_high", "identifier", "identifier keyword with high cardinality"),
+    ("identifier_numeric", "identifier", "numeric identifier-like column"),
+    ("date", "secondary_date", "parseable secondary date"),
+    ("measurement", "numeric_measurement", "numeric measurement profile"),
+    ("moderate", "numeric_measurement", "numeric profile with moderate cardinality"),
+    ("other_numeric", "excluded", "numeric column does not look like a measurement"),
+    ("name", "identifier", "name-like high-cardinality column"),
+    ("high", "excluded", "high-cardinality categorical column"),
+    ("category", "categorical_summary", "categorical summary profile"),
+]
 
 # Forecast.
 PRIORITY_FEATURES = ["year", "month", "quarter", "week_of_year",

@@ -5,7 +5,7 @@ The encoding of every file is decided by one aggregate over
 ``spark.read.text`` (raw lines) grouped by the file path: files that are
 all valid UTF-8 are read as UTF-8 (a BOM is dropped by the CSV reader);
 others as windows-1254, or ISO-8859-1 when they hold a byte windows-1254
-leaves undefined.  Only the small (file, encoding) table reaches the driver.
+leaves undefined.
 """
 
 from __future__ import annotations
@@ -41,23 +41,42 @@ def null_tokens(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame
     return df.select(*[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) for c in df.columns])
 
 
+def file_layouts(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """Per file: ``(file_path, encoding, header)``, the header being its first line in that encoding."""
+    first = (spark.read.format("text").load(paths)
+             .select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("b"))
+             .where("block = 0").groupBy("file_path").agg(F.min_by("b", "at").alias("b")))
+    text = F.lit(None).cast("string")
+    for name in ENCODING_ORDER:
+        text = F.when(F.col("encoding") == name, F.decode("b", name)).otherwise(text)
+    return (detect_encodings(spark, paths).join(first, "file_path")
+            .select("file_path", "encoding", F.regexp_replace(text, "^\ufeff|\r$", "").alias("header")))
+
+
 def read_csv(spark: SparkSession, paths: Sequence[str] | str, encoding: str | None = None,
-             sep: str = ",", with_nulls: bool = True) -> DataFrame:
+             sep: str = ",", with_nulls: bool = True, multiline: bool = True) -> DataFrame:
     """Header CSV, every column STRING (no inference: one bad cell
-    cannot change a column's type); encoding per file unless given."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep) \
-        .option("multiLine", False).option("mode", "PERMISSIVE")
-    if encoding is not None:
-        df = reader.option("encoding", encoding).csv(paths)
-    else:
-        groups: dict[str, list[str]] = {}
-        for row in detect_encodings(spark, paths).collect():  # one row per file
-            groups.setdefault(row["encoding"], []).append(row["file_path"])
-        if not groups:
-            raise FileNotFoundError(f"No input files: {paths}")
-        parts = [reader.option("encoding", enc).csv(files) for enc in ENCODING_ORDER
-                 if (files := groups.get(enc))]
-        df = parts[0]
-        for p in parts[1:]:
-            df = df.unionByName(p, allowMissingColumns=True)
+    cannot change a column's type); encoding per file unless given.
+
+    Quotes are doubled inside quoted fields, and columns are matched by name: files
+    are read in groups of equal header and encoding, and a column that a group lacks is null.
+    ``multiline`` lets quoted fields hold line ends; such a file is one task.  Turn it off
+    for large files without them, so that they are split.
+    """
+    reader = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
+              .option("quote", '"').option("escape", '"').option("multiLine", multiline).option("mode", "PERMISSIVE"))
+    layouts = file_layouts(spark, paths)
+    kinds = layouts.groupBy("encoding", "header").agg(F.min("file_path").alias("first"), F.count("*").alias("n")).collect()
+    if not kinds:
+        raise FileNotFoundError(f"No input files: {paths}")
+    parts = []
+    for kind in sorted(kinds, key=lambda k: k["first"]):
+        # one kind of file is read by the given paths; a mixture by the files of each kind, which Spark lists anyway
+        files = paths if len(kinds) == 1 else [r[0] for r in layouts.where(
+            (F.col("encoding") == kind["encoding"]) & F.col("header").eqNullSafe(kind["header"])).select("file_path").collect()]
+        parts.append(reader.option("encoding", encoding or kind["encoding"]).csv(files))
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p, allowMissingColumns=True)
     return null_tokens(df) if with_nulls else df

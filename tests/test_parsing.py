@@ -91,3 +91,18 @@ def test_text_dates(spark):
     info, got = _clean_dates(spark, ["13.01.2024", "Ocak 2024", "January 2024", "15 Mayıs 2024"],
                              order="day_month")
     assert got == [dt.date(2024, 1, 13), dt.date(2024, 1, 1), dt.date(2024, 1, 1), None]
+
+
+def test_fallback_keeps_the_sign(spark):
+    cases = {"-1.234.567": -1234567.0, "-1,234,567 TL": -1234567.0, "1.234.567": 1234567.0, "(1.234,50)": 1234.5,
+             "5-1.234.567": 5.0}
+    df = spark.createDataFrame([(v,) for v in cases], "v string")
+    assert [r[0] for r in df.select(clean_number(F.col("v"))).collect()] == list(cases.values())
+
+
+def test_month_name_dates(spark):
+    from ledgerlark.functions.dates import parse_text_date
+    cases = {"Ocak 2024": dt.date(2024, 1, 1), "Mart-2024": dt.date(2024, 3, 1), "Ocak/2024": dt.date(2024, 1, 1),
+             "2024.Mart": dt.date(2024, 3, 1), "Sept. 2021": dt.date(2021, 9, 1), "15 Mart": None, "Foo 2024": None}
+    df = spark.createDataFrame([(v,) for v in cases], "v string")
+    assert [r[0] for r in df.select(parse_text_date(F.col("v"), F.lit("day_month"))).collect()] == list(cases.values())

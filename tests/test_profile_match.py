@@ -55,3 +55,20 @@ def test_formula_check(spark):
 def test_single_pass_profile_plan(spark):
     plan = P.column_profile(_table(spark, EN), with_samples=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1 and "PythonUDF" not in plan and "ArrowEval" not in plan
+
+
+def test_samples_come_from_the_whole_table(spark):
+    df = spark.createDataFrame([(None if i < 150 else f"v{i}", i) for i in range(300)], "late string, n int").coalesce(1)
+    got = {r["column"]: r["sample_values"] for r in P.column_profile(df, sample_size=3).collect()}
+    assert got == {"late": ["v150", "v151", "v152"], "n": ["0", "1", "2"]}
+
+
+def test_mapping_problems(spark):
+    from ledgerlark.operators import clean, match
+    good = {"date": "d", "product_name": "p", "quantity": "q", "unit_price": "u", "revenue": "r"}
+    assert clean.mapping_problems(good, list("dpqur")) == []
+    assert clean.mapping_problems({**good, "revenue": "u"}, list("dpqur")) == []
+    assert len(clean.mapping_problems({**good, "date": None, "unit_price": "q", "revenue": "zz"}, list("dpqur"))) == 3
+    raw = spark.createDataFrame([("2", "3", str(7 * i)) for i in range(1, 9)], "q string, u string, r string")
+    checks = match.revenue_formula_checks(raw, "q", "u")
+    assert any("does not follow" in p for p in clean.mapping_problems(good, list("dpqur"), checks))

@@ -49,3 +49,28 @@ def test_streaming_daily(spark):
     q.stop()
     got = {r["date"]: r["revenue"] for r in spark.sql("select * from ll_daily").collect()}
     assert got == {dt.date(2024, 1, 1): 5.0, dt.date(2024, 1, 2): 4.0}
+
+
+def _write(folder, **files):
+    for name, data in files.items():
+        with open(os.path.join(folder, name + ".csv"), "wb") as fh:
+            fh.write(data)
+
+
+def test_csv_quotes_and_line_ends(spark):
+    d = tempfile.mkdtemp(prefix="ll-quote-", dir="/tmp")
+    _write(d, a=b'product,note\n"tea, black","say ""hi"", ok"\n"line1\nline2",x\n,"NA"\n')
+    rows = {tuple(r) for r in read_csv(spark, d).collect()}
+    assert rows == {("tea, black", 'say "hi", ok'), ("line1\nline2", "x"), (None, None)}
+
+
+def test_csv_columns_by_name_over_encodings(spark):
+    d = tempfile.mkdtemp(prefix="ll-order-", dir="/tmp")
+    _write(d, a="date,ürün,qty\n2024-01-01,çay,1\n".encode(), b="ürün,qty,date\nşeker,2,2024-01-02\n".encode("cp1254"),
+           c="﻿date,ürün\r\n2024-01-03,kahve\r\n".encode(), d=b"date,qty\n")
+    df = read_csv(spark, d)
+    assert sorted(df.columns) == ["date", "qty", "ürün"]
+    assert {(r["date"], r["ürün"], r["qty"]) for r in df.collect()} == {
+        ("2024-01-01", "çay", "1"), ("2024-01-02", "şeker", "2"), ("2024-01-03", "kahve", None)}
+    single = read_csv(spark, os.path.join(d, "a.csv"), multiline=False)
+    assert single.count() == 1 and single.first()["ürün"] == "çay"
