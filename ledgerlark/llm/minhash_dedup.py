@@ -12,7 +12,7 @@ Candidates are settled without enumerating a key's pairs: first every document a
 of its key (a star); after these links are verified and joined into components, only pairs of
 *different* components that share a key remain.  They are compared block by block: a pair is passed on if
 its signatures lie within the distance, its sets can be similar at all, and its long signatures agree.
-For the second each document of the remaining keys knows how many of its shingles another such document
+For the second each document that shares a key knows how many of its shingles another such document
 has; two documents share no more than the lesser of these numbers.  Long signatures (``LONG_SYMBOLS``) are
 made for these documents only; at the similarity asked for, one pair in a million differs more.  So copies
 that were each edited by themselves, a family whose members stay below the threshold, are compared inside
@@ -46,6 +46,7 @@ _EDGES = [SYMBOLS * c // CHUNKS for c in range(CHUNKS + 1)]
 # (chunk, symbols that must agree) for every chunk and every choice of one position left out
 _KEYS = [(c, [p for p in range(_EDGES[c], _EDGES[c + 1]) if p != out])
          for c in range(CHUNKS) for out in range(_EDGES[c], _EDGES[c + 1])]
+_CHOICE = np.uint64((1 << (len(_KEYS) - 1).bit_length()) - 1)
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -80,17 +81,25 @@ def long_signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signature_keys(symbols: np.ndarray) -> np.ndarray:
-    """One 64-bit key per row for each chunk and each allowed choice of errors."""
+    """One 64-bit key per row for each chunk and each allowed choice of errors; its low bits number the choice."""
     wide = symbols.astype(np.uint64) + np.uint64(1)
     keys = np.empty((len(symbols), len(_KEYS)), np.uint64)
     for k, (_, agree) in enumerate(_KEYS):
         code = np.full(len(symbols), k, np.uint64)
         for p in agree:
             code = mix(code * _MUL[0] + wide[:, p])
-        keys[:, k] = code
+        keys[:, k] = (code & ~_CHOICE) | np.uint64(k)
     return keys
 
 
+def _first_shared(differs: np.ndarray, choice: int) -> np.ndarray:
+    """Of pairs that share the key of a choice, which share none of an earlier choice (``differs``: symbols)."""
+    chunk, agree = _KEYS[choice]
+    errors = np.add.reduceat(differs, _EDGES[:-1], axis=1, dtype=np.int64)
+    return ((errors[:, :chunk] > ERRORS).all(1)
+            & ((errors[:, chunk] == ERRORS) | (choice == min(k for k, (c, _) in enumerate(_KEYS) if c == chunk))))
+
+
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +188,8 @@ def _segments(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
 def _near_in_cells(percent: int):
     """Pairs of different components in each cell of a key's block grid, within the signature distance.
 
-    ``side`` tells the rows of the cell (0) from its columns (1); a cell of the diagonal has side 2 only."""
+    ``side`` tells the rows of the cell (0) from its columns (1); a cell of the diagonal has side 2 only.
+    A pair that shares several keys is passed on by the first of them alone."""
     similar = percent / 100
     far = LONG_SYMBOLS * (1 - similar) + LONG_SIGMAS * (LONG_SYMBOLS * similar * (1 - similar)) ** 0.5
 
@@ -189,6 +199,7 @@ def _near_in_cells(percent: int):
         for cell in _segments(batches, 3):
             side, ids, comp, size, common = (cell.column(i).to_numpy() for i in range(3, 8))
             symbols = np.frombuffer(b"".join(cell.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            choice = int(np.uint64(cell.column(0)[0].as_py() % (1 << 64)) & _CHOICE)
             more = np.frombuffer(b"".join(cell.column(9).to_pylist()), np.uint8).reshape(-1, LONG_SYMBOLS)
             for i in np.flatnonzero(side != 1).tolist():
                 lo = i + 1 if side[i] == 2 else int(np.searchsorted(side, 1))
@@ -196,7 +207,8 @@ def _near_in_cells(percent: int):
                 at = lo + np.flatnonzero((comp[lo:] != comp[i]) & (ids[lo:] != ids[i])
                                          & (100 * most >= percent * (size[lo:] + size[i] - most)))
                 if len(at):
-                    at = at[(symbols[at] != symbols[i]).sum(1) <= MAX_DISTANCE]
+                    differs = symbols[at] != symbols[i]
+                    at = at[(differs.sum(1) <= MAX_DISTANCE) & _first_shared(differs, choice)]
                 if len(at):
                     at = at[(more[at] != more[i]).sum(1) <= far]
                 if len(at):
@@ -211,8 +223,7 @@ def _near_in_cells(percent: int):
 
 
 def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate([np.stack(f, 1) for f in found]), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["a", "b"])
 
 
 def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -245,14 +256,14 @@ def _near_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "n", "m", "x", "y").mapInArrow(_within(percent), "a long, b long"))
 
 
-def _star_pairs(keys: DataFrame) -> DataFrame:
+def _shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, id, a) of the keys that several documents have; a is the smallest of them."""
     least = keep_table(keys.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n"))
                        .where("n > 1").select("key", "a"), "least")
-    return (keys.join(least, "key").where("id <> a")
-            .select("a", F.col("id").alias("b")).distinct())
+    return keep_table(keys.join(least, "key"), "shared")
 
 
-def _cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _cross_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components that share a key.
 
     A key with n members is a grid of ceil(n / BLOCK) squared cells; a member joins the cells of its
@@ -261,14 +272,13 @@ def _cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame, width: i
                                                   F.count("*").alias("n"))
                        .where("lo <> hi").select("key", "n"), "mixed")
     members = keep_table(members.join(mixed, "key"), "mixed")
-    sets = _sets(texts, keep_table(members.select("id").distinct(), "ids"), width)
     private = (sets.mapInArrow(_shingle_rows, "shingle long, id long").groupBy("shingle")
                .agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
                .groupBy("id").agg(F.count("*").alias("private")))
     known = sets.mapInArrow(_long_signatures, "id long, long binary")
     reps = keep_table(reps.join(known, "id").join(private, "id", "left").select(
         "id", "n_shingles", (F.col("n_shingles") - F.coalesce("private", F.lit(0))).alias("common"), "signature", "long"),
-        "mixed")
+        "reps")
     cells = (members.join(reps, "id")
              .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
              .withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -279,7 +289,7 @@ def _cross_links(members: DataFrame, reps: DataFrame, texts: DataFrame, width: i
     pairs = (cells.select("key", "r", "c", "side", "id", "component", "n_shingles", "common", "signature",
                           "long")
              .repartition("key", "r", "c").sortWithinPartitions("key", "r", "c", "side")
-             .mapInArrow(_near_in_cells(percent), "a long, b long").distinct())
+             .mapInArrow(_near_in_cells(percent), "a long, b long"))
     return _verified(keep_table(pairs, "pairs"), sets, percent)
 
 
@@ -306,13 +316,14 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
             .where("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct())
     keys = keep_table(classes.select("id", "signature").repartition(F.col("id"))
                       .mapInArrow(_keys, "key long, id long"), "keys")
-    pairs = keep_table(_near_pairs(_star_pairs(keys), classes, percent), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    star = keep_table(_verified(pairs, _sets(texts, ids, width), percent), "links")
+    shared = _shared_keys(keys)
+    sets = _sets(texts, keep_table(shared.select("id").distinct(), "ids"), width)
+    pairs = shared.where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    star = keep_table(_verified(keep_table(_near_pairs(pairs, classes, percent), "pairs"), sets, percent), "links")
     near = keep_table(connected_components(star), "near")
-    members = (keys.join(near, "id", "left")
+    members = (shared.join(near, "id", "left")
                .select("key", "id", F.coalesce("component", "id").alias("component")))
-    rest = _cross_links(members, classes, texts, width, percent)
+    rest = _cross_links(members, classes, sets, percent)
     component = keep_table(connected_components(keep_table(
         star.unionByName(rest).unionByName(same), "links")), "component")
     return (sketch.join(component, sketch["doc_id"] == component["id"], "left")
