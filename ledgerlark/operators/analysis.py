@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import money_sum, round2
-from ..schema import TARGET_FIELDS
 
 
 def _as_date(value) -> _dt.date:
@@ -30,32 +29,43 @@ def _as_date(value) -> _dt.date:
         raise ValueError(f"Date could not be parsed: {value}") from exc
 
 
-def validate_columns(df: DataFrame) -> None:
-    missing = [c for c in TARGET_FIELDS if c not in df.columns]
-    if missing:
-        raise ValueError(f"The cleaned dataset is missing columns: {missing}")
-
-
 def prepare(df: DataFrame) -> DataFrame:
-    """A1: coerce date and numbers; unparsable -> NULL (no-op when typed)."""
-    validate_columns(df)
+    """A1: date and numbers of a re-read table, coerced; unparsable -> NULL.  Typed columns cost nothing.
+
+    Every analysis starts with it; columns that an analysis does not need may be absent."""
     out = df
-    if dict(df.dtypes)["date"] != "date":
+    types = dict(df.dtypes)
+    if types.get("date", "date") != "date":
         out = out.withColumn("date", F.to_date(F.col("date").try_cast("timestamp")))
     for c in ("quantity", "unit_price", "revenue"):
-        if dict(df.dtypes)[c] != "double":
+        if types.get(c, "double") not in ("double", "decimal(38,2)"):
             out = out.withColumn(c, F.col(c).try_cast("double"))
     return out
 
 
+def sales_base(df: DataFrame, start=None, end=None, series_cols: Sequence[str] = ()) -> DataFrame:
+    """Sums per (series, date, product): one pass over the rows that every analysis here can read instead of them."""
+    return (filter_range(df, start, end).groupBy(*series_cols, "date", "product_name")
+            .agg(money_sum(F.col("revenue")).alias("revenue"), F.sum("quantity").alias("quantity"),
+                 money_sum(F.col("unit_price")).alias("_price"), F.count("unit_price").alias("_prices"),
+                 F.count(F.lit(1)).alias("_rows")))
+
+
+def is_base(df: DataFrame) -> bool:
+    """Whether ``df`` comes from :func:`sales_base`."""
+    return "_rows" in df.columns
+
+
 def date_range(df: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
     """A2: min/max non-null date (one row, NULLs when there is no date)."""
+    df = prepare(df)
     agg = [F.min("date").alias("start_date"), F.max("date").alias("end_date")]
     return df.groupBy(*series_cols).agg(*agg) if series_cols else df.agg(*agg)
 
 
 def filter_range(df: DataFrame, start=None, end=None) -> DataFrame:
-    """A3: inclusive date filter; pushes into the Parquet scan."""
+    """A3: inclusive date filter on the prepared table (A1); pushes into the Parquet scan."""
+    df = prepare(df)
     if start is None and end is None:
         return df.where(F.col("date").isNotNull())
     s, e = _as_date(start), _as_date(end)
@@ -78,11 +88,12 @@ def _bounds(df: DataFrame, start, end, series_cols: Sequence[str]) -> DataFrame:
 
 def daily_sales(df: DataFrame, series_cols: Sequence[str] = ()) -> DataFrame:
     """A5: per-day sums (partial aggregation before the shuffle)."""
+    rows = F.sum("_rows") if is_base(df) else F.count(F.lit(1))
     return (df.where(F.col("date").isNotNull())
               .groupBy(*series_cols, "date")
               .agg(money_sum(F.col("revenue")).alias("revenue"),
                    F.sum("quantity").alias("quantity"),
-                   F.count(F.lit(1)).alias("row_count")))
+                   rows.alias("row_count")))
 
 
 def daily_filled(df: DataFrame, start=None, end=None,
@@ -108,26 +119,22 @@ def daily_filled(df: DataFrame, start=None, end=None,
                          F.coalesce(F.col("row_count") > 0, F.lit(False)).alias("has_sales")))
 
 
-def kpi_summary(df: DataFrame, start=None, end=None,
-                series_cols: Sequence[str] = (), approx_distinct: bool = False) -> DataFrame:
-    """A4 + A7: one row of KPIs (per series when given)."""
-    ranged = filter_range(df, start, end)
-    distinct = (F.approx_count_distinct("product_name") if approx_distinct
-                else F.count_distinct("product_name"))
-    kpi_aggs = [F.count(F.lit(1)).alias("row_count"),
-                F.coalesce(money_sum(F.col("revenue")).cast("double"), F.lit(0.0)).alias("total_revenue"),
+def kpi_summary(df: DataFrame, start=None, end=None, series_cols: Sequence[str] = ()) -> DataFrame:
+    """A4 + A7: one row of KPIs (per series when given), all from one aggregate of the rows."""
+    base = filter_range(df, start, end) if is_base(df) else sales_base(df, start, end, series_cols)
+    kpi_aggs = [F.coalesce(F.sum("_rows"), F.lit(0)).alias("row_count"),
+                F.coalesce(F.sum("revenue").cast("double"), F.lit(0.0)).alias("total_revenue"),
                 F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("total_quantity"),
-                distinct.alias("product_variety"),
-                (money_sum(F.col("unit_price")).cast("double")
-                 / F.nullif(F.count("unit_price"), F.lit(0))).alias("_avg_price")]
-    kpis = ranged.groupBy(*series_cols).agg(*kpi_aggs) if series_cols else ranged.agg(*kpi_aggs)
-    daily = daily_filled(df, start, end, series_cols)
+                F.count_distinct("product_name").alias("product_variety"),
+                (F.sum("_price").cast("double") / F.nullif(F.sum("_prices"), F.lit(0))).alias("_avg_price")]
+    kpis = base.groupBy(*series_cols).agg(*kpi_aggs) if series_cols else base.agg(*kpi_aggs)
+    daily = daily_filled(base, start, end, series_cols)
     day_aggs = [money_sum(F.col("revenue")).alias("_rev_all"),
                 F.count(F.lit(1)).alias("_days"),
                 money_sum(F.when(F.col("has_sales"), F.col("revenue"))).alias("_rev_sales"),
                 F.count_if(F.col("has_sales")).alias("_sales_days")]
     days = daily.groupBy(*series_cols).agg(*day_aggs) if series_cols else daily.agg(*day_aggs)
-    joined = kpis.join(days, list(series_cols), "left") if series_cols else kpis.crossJoin(days)
+    joined = kpis.join(days, list(series_cols), "left") if series_cols else kpis.crossJoin(F.broadcast(days))
     return joined.select(
         *series_cols, "row_count",
         round2(F.col("total_revenue")).alias("total_revenue"),
@@ -160,7 +167,8 @@ def top_revenue_products(df: DataFrame, start=None, end=None, limit: int = 10,
 def _product_counts(df: DataFrame, start, end, limit: int, ascending: bool,
                     series_cols: Sequence[str]) -> DataFrame:
     ranged = filter_range(df, start, end).where(F.col("product_name").isNotNull())
-    per = ranged.groupBy(*series_cols, "product_name").agg(F.count(F.lit(1)).alias("count"))
+    rows = F.sum("_rows") if is_base(df) else F.count(F.lit(1))
+    per = ranged.groupBy(*series_cols, "product_name").agg(rows.alias("count"))
     order = [F.asc("count") if ascending else F.desc("count"), F.asc("product_name")]
     return _top(per, order, limit, series_cols, ["product_name", "count"])
 
@@ -198,7 +206,10 @@ def daily_series(df: DataFrame, start=None, end=None, series_cols: Sequence[str]
 
 def sales_report(df: DataFrame, start=None, end=None, limit: int = 10) -> DataFrame:
     """Every section of the text report as a long table
-    ``(section, rank, key, value)``; rendering is left to the caller."""
+    ``(section, rank, key, value)``; rendering is left to the caller.
+
+    All sections read one (date, product) aggregate, whose exchange the plan reuses."""
+    df = sales_base(df, start, end)
     k = kpi_summary(df, start, end)
     kpi_cols = ["row_count", "total_revenue", "total_quantity", "product_variety",
                 "average_unit_price", "avg_daily_revenue_all_days", "avg_daily_revenue_sales_days"]

@@ -45,38 +45,29 @@ def _classify(before, total):
 
 
 def pareto_abc(df: DataFrame, start=None, end=None, series_cols: Sequence[str] = (),
-               slices: int | None = None, checkpoint: bool = True) -> DataFrame:
+               slices: int | None = None) -> DataFrame:
     """``product_name, revenue, revenue_share, cumulative_share, abc_class``.
 
     Class is decided by the cumulative share *before* the row (Q13): < .80 A,
     < .95 B, else C.  Empty when the total revenue is <= 0.
-    With ``series_cols`` the order is per series and a window partitioned by
-    the series keys does the running sum (one series = one task's worth of
-    products).
+
+    The running sum is distributed, with series or without: products are cut into ranges of (series,
+    revenue descending, product); a range adds the sums of its series' earlier ranges to a window of its own, so
+    that a series with very many products is many tasks.  The ranges are written once (checkpoint).
     """
-    per = product_revenue(df, start, end, series_cols)
+    s = list(series_cols)
+    per = product_revenue(df, start, end, s)
     order = [F.desc("revenue"), F.asc("product_name")]
-    if series_cols:
-        w = Window.partitionBy(*series_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        tot = Window.partitionBy(*series_cols)
-        out = (per.withColumn("_cum", F.sum("revenue").over(w))
-                  .withColumn("_total", F.sum("revenue").over(tot)))
-    else:
-        spark = df.sparkSession
-        n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        sliced = (per.repartitionByRange(n, *order)
-                     .withColumn("_slice", F.spark_partition_id()))
-        if checkpoint:
-            sliced = cut_lineage(sliced)
-        slice_tot = sliced.groupBy("_slice").agg(F.sum("revenue").alias("_slice_rev"))
-        ow = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = slice_tot.select(
-            "_slice",
-            F.coalesce(F.sum("_slice_rev").over(ow), F.lit(0).cast("decimal(38,2)")).alias("_offset"),
-            F.sum("_slice_rev").over(Window.partitionBy()).alias("_total"))
-        lw = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        out = (sliced.join(F.broadcast(offsets), "_slice")
-                     .withColumn("_cum", F.col("_offset") + F.sum("revenue").over(lw)))
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = cut_lineage(per.repartitionByRange(n, *s, *order).withColumn("_slice", F.spark_partition_id()))
+    # one row per range and series in it
+    sums = sliced.groupBy(*s, "_slice").agg(F.sum("revenue").alias("_sum"))
+    earlier = Window.partitionBy(*s).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*s, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0).cast("decimal(38,2)")).alias("_offset"),
+                          F.sum("_sum").over(Window.partitionBy(*s)).alias("_total"))
+    own = Window.partitionBy(*s, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = (sliced.join(offsets if s else F.broadcast(offsets), [*s, "_slice"])
+           .withColumn("_cum", F.col("_offset") + F.sum("revenue").over(own)))
     total = F.col("_total").cast("double")
     cum = F.col("_cum").cast("double")
     rev = F.col("revenue").cast("double")

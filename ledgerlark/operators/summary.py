@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep_table
 from . import analysis as A
 from . import anomaly as B
 from . import pareto as P
@@ -29,6 +30,8 @@ def business_summary(sales: DataFrame, start=None, end=None, forecast_summary: D
     One document describes one sales series; ``forecast_summary`` is that
     series' per-horizon table (five rows), so every array is bounded.
     """
+    # one pass over the rows; every part below reads the (date, product) sums
+    sales = keep_table(A.sales_base(sales, start, end), "base")
     rng = A.date_range(A.filter_range(sales, start, end)).select(
         F.struct(F.date_format("start_date", "yyyy-MM-dd").alias("start"),
                  F.date_format("end_date", "yyyy-MM-dd").alias("end")).alias("date_range"))
