@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import money_sum, round2
+from ..session import keep_table
 
 
 def _as_date(value) -> _dt.date:
@@ -120,15 +121,19 @@ def daily_filled(df: DataFrame, start=None, end=None,
 
 
 def kpi_summary(df: DataFrame, start=None, end=None, series_cols: Sequence[str] = ()) -> DataFrame:
-    """A4 + A7: one row of KPIs (per series when given), all from one aggregate of the rows."""
-    base = filter_range(df, start, end) if is_base(df) else sales_base(df, start, end, series_cols)
-    kpi_aggs = [F.coalesce(F.sum("_rows"), F.lit(0)).alias("row_count"),
-                F.coalesce(F.sum("revenue").cast("double"), F.lit(0.0)).alias("total_revenue"),
+    """A4 + A7: one row of KPIs (per series when given)."""
+    ranged = filter_range(df, start, end)
+    if is_base(df):
+        rows, price, prices = F.coalesce(F.sum("_rows"), F.lit(0)), F.sum("_price"), F.sum("_prices")
+    else:
+        rows, price, prices = F.count(F.lit(1)), money_sum(F.col("unit_price")), F.count("unit_price")
+    kpi_aggs = [rows.alias("row_count"),
+                F.coalesce(money_sum(F.col("revenue")).cast("double"), F.lit(0.0)).alias("total_revenue"),
                 F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("total_quantity"),
                 F.count_distinct("product_name").alias("product_variety"),
-                (F.sum("_price").cast("double") / F.nullif(F.sum("_prices"), F.lit(0))).alias("_avg_price")]
-    kpis = base.groupBy(*series_cols).agg(*kpi_aggs) if series_cols else base.agg(*kpi_aggs)
-    daily = daily_filled(base, start, end, series_cols)
+                (price.cast("double") / F.nullif(prices, F.lit(0))).alias("_avg_price")]
+    kpis = ranged.groupBy(*series_cols).agg(*kpi_aggs) if series_cols else ranged.agg(*kpi_aggs)
+    daily = daily_filled(df, start, end, series_cols)
     day_aggs = [money_sum(F.col("revenue")).alias("_rev_all"),
                 F.count(F.lit(1)).alias("_days"),
                 money_sum(F.when(F.col("has_sales"), F.col("revenue"))).alias("_rev_sales"),
@@ -208,8 +213,8 @@ def sales_report(df: DataFrame, start=None, end=None, limit: int = 10) -> DataFr
     """Every section of the text report as a long table
     ``(section, rank, key, value)``; rendering is left to the caller.
 
-    All sections read one (date, product) aggregate, whose exchange the plan reuses."""
-    df = sales_base(df, start, end)
+    The rows are read once, into a written (date, product) aggregate that all sections read."""
+    df = keep_table(sales_base(df, start, end), "base")
     k = kpi_summary(df, start, end)
     kpi_cols = ["row_count", "total_revenue", "total_quantity", "product_variety",
                 "average_unit_price", "avg_daily_revenue_all_days", "avg_daily_revenue_sales_days"]

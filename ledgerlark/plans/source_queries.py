@@ -8,7 +8,7 @@ from ..functions.numbers import round6
 from ..operators import features as W
 from ..operators import forecast as L
 from ..operators import summary as D
-from ..sources.tables import sales
+from ..sources.tables import DIRTY_MAPPING, dirty_sales, sales
 from . import sql as Q
 from .catalog import register
 
@@ -102,3 +102,23 @@ def q_business_summary(spark, d):
 @register("table_fingerprint")
 def q_fingerprint(spark, d):
     return D.table_fingerprint(sales(spark, d))
+
+
+@register("text_extra_features", Q.with_(Q.SALES).rstrip() + """
+select cast(date_trunc('week', date) as date) as week_start,
+       coalesce(cast(sum(cast(case when h % 3 = 2 then unit_price end as decimal(38,10))) as double), 0.0) as price_text_sum,
+       max(case when h % 3 = 2 then unit_price end) as price_text_max,
+       cast(coalesce(sum(case when h % 10 <> 0 then 3 end), 0) as double) as ship_delay_days_sum
+from sales group by 1""")
+def q_text_extras(spark, d):
+    """F3, W3 on text extras with cells that are no numbers (``12,5 TL``) or no dates (``n.a.``)."""
+    raw = dirty_sales(spark, d).select(
+        F.col("true_date").alias("date"), F.col("true_product").alias("product_name"),
+        F.col("true_quantity").alias("quantity"), F.col("true_price").alias("unit_price"),
+        F.col("true_revenue").alias("revenue"), F.col(DIRTY_MAPPING["unit_price"]).alias("price_text"),
+        F.when(F.col("h") % 10 == 0, "n.a.").otherwise(F.date_add("true_date", 3).cast("string")).alias("Ship Date"))
+    source = W.build_feature_source(raw, ["Ship Date"],
+                                    core=("date", "product_name", "quantity", "unit_price", "revenue", "price_text"))
+    extras = ["price_text", *source.extra_columns]
+    return W.weekly_features(source.frame, extras, numeric_extras=extras).select(
+        "week_start", "price_text_sum", "price_text_max", "ship_delay_days_sum")
