@@ -67,8 +67,20 @@ def _unpack(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.uint32 if len(raw) == 4 * n else np.uint64).astype(np.uint64), dtype=np.uint64)
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as one byte each; 255 stands for a larger one, which follows in 8 bytes at the end."""
+    counts = counts.astype(np.uint64)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].tobytes()
+
+
+def _unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, np.int64, offset=n)
+    return counts
+
+
 def _ask(order: int, bucket_bits: int):
-    """Rows (n, bucket, chunk, keys, counts) of one chunk."""
+    """Rows (n, bucket, chunk, keys, counts, size) of one chunk."""
     def run(table: pa.Table) -> pa.Table:
         grams = _Grams(table.column("text"), order, bucket_bits)
         chunk = table.column("chunk")[0].as_py()
@@ -79,9 +91,9 @@ def _ask(order: int, bucket_bits: int):
             edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
             for lo, hi in zip(edges[:-1], edges[1:]):
                 if hi > lo:
-                    rows.append((n, int(bucket[lo]), chunk, _pack(low[lo:hi]), counts[lo:hi].astype(np.uint32).tobytes()))
+                    rows.append((n, int(bucket[lo]), chunk, _pack(low[lo:hi]), _pack_counts(counts[lo:hi]), hi - lo))
         return _table(rows, [("n", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()),
-                             ("counts", pa.binary())])
+                             ("counts", pa.binary()), ("size", pa.int64())])
     return run
 
 
@@ -92,15 +104,15 @@ def _table(rows: list[tuple], fields: list) -> pa.Table:
 
 def _answer(table: pa.Table) -> pa.Table:
     """Rows (n, bucket, chunk, totals): corpus counts of the n-grams that each chunk sent to this bucket."""
-    counts = [np.frombuffer(c.as_buffer(), np.uint32) for c in table.column("counts")]
-    keys = [_unpack(k.as_buffer().to_pybytes(), len(c)) for k, c in zip(table.column("keys"), counts)]
+    sizes = table.column("size").to_pylist()
+    counts = [_unpack_counts(c.as_buffer().to_pybytes(), n) for c, n in zip(table.column("counts"), sizes)]
+    keys = [_unpack(k.as_buffer().to_pybytes(), n) for k, n in zip(table.column("keys"), sizes)]
     _, of = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(of, np.concatenate(counts)).astype(np.uint64)[of]
-    cuts = np.cumsum([len(c) for c in counts])[:-1]
-    # counts of 2**32 and more take 8 bytes a piece
-    packed = [(t.astype(np.uint32) if not len(t) or t.max() < 1 << 32 else t).tobytes() for t in np.split(totals, cuts)]
+    totals = np.zeros(int(of.max()) + 1, np.int64)
+    np.add.at(totals, of, np.concatenate(counts))
+    packed = [_pack_counts(t) for t in np.split(totals[of], np.cumsum(sizes)[:-1])]
     return pa.table([table.column("n"), table.column("bucket"), table.column("chunk"), pa.array(packed, pa.binary()),
-                     pa.array([len(c) for c in counts], pa.int64())], names=["n", "bucket", "chunk", "totals", "size"])
+                     table.column("size")], names=["n", "bucket", "chunk", "totals", "size"])
 
 
 def _score(order: int, bucket_bits: int, n_words: int, factor: float):
@@ -113,8 +125,7 @@ def _score(order: int, bucket_bits: int, n_words: int, factor: float):
         shorter = rest
         for n in range(1, order + 1):
             totals = np.concatenate([np.zeros(0, np.int64)] + [
-                np.frombuffer(raw, np.uint32 if len(raw) == 4 * size else np.uint64).astype(np.int64)
-                for m, _, raw, size in rows if m == n])
+                _unpack_counts(raw, size) for m, _, raw, size in rows if m == n])
             end, of = grams.ends[n - 1], grams.of[n - 1]
             code = grams.doc[end] * max(1, len(totals)) + of
             _, pair, own = np.unique(code, return_inverse=True, return_counts=True)
@@ -154,7 +165,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, factor: float = FACTOR,
     bucket_bits = (chunks - 1).bit_length()
     dealt = texts.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long").alias("chunk"))
     asked = dealt.groupBy("chunk").applyInArrow(
-        _ask(order, bucket_bits), "n int, bucket long, chunk long, keys binary, counts binary")
+        _ask(order, bucket_bits), "n int, bucket long, chunk long, keys binary, counts binary, size long")
     answers = (asked.groupBy("n", "bucket").applyInArrow(
         _answer, "n int, bucket long, chunk long, totals binary, size long")
         .withColumnRenamed("chunk", "to_chunk"))

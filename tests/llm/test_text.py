@@ -135,6 +135,14 @@ def test_backoff_scores(spark, order):
     assert backoff_lm.backoff_scores(spark.createDataFrame([], SCHEMA), order).count() == 0
 
 
+def test_packed_counts():
+    counts = np.array([0, 1, 254, 255, 256, 10**12, 3])
+    assert backoff_lm._unpack_counts(backoff_lm._pack_counts(counts), 7).tolist() == counts.tolist()
+    keys = np.array([0, 5, 2**39, 2**40 - 1], np.uint64)
+    assert backoff_lm._unpack(backoff_lm._pack(keys), 4).tolist() == keys.tolist()
+    assert backoff_lm._unpack(backoff_lm._pack(keys[:2]), 2).tolist() == keys[:2].tolist()
+
+
 # ---- winnowing ------------------------------------------------------------
 
 def test_winnow_is_the_definition():
