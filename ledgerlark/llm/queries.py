@@ -207,3 +207,25 @@ def op9_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under a unigram reading of a public piece vocabulary."""
     return count_tokens(_table(spark, sf_dir, "documents"),
                         load_piece_scores(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+ORACLES["op10_minhash_near_dedup"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 3], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id
+  group by all),
+links as (
+  select a, b from common c join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * c.n >= 80 * (x.n + y.n - c.n)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (
+  select doc_id, doc_id from documents union select r.doc_id, l.b from reach r join both_ways l on l.a = r.other)
+select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(other) as component_id, min(other) = d.doc_id as kept
+from reach d left join sizes using (doc_id) group by d.doc_id
+"""
