@@ -4,10 +4,14 @@ The tree has a fixed depth: a line goes by its number of words and its ``DEPTH``
 with a digit count as ``<*>``) to a leaf.  Within a leaf, a word that stands at its position in lines of
 fewer than ``min_docs`` different texts is a variable field, ``<*>``; what stays is the line's template.
 
-A template recurs if lines of at least ``min_docs`` different texts have it, at least ``MIN_CONSTANT`` of
-its words are constant, and its lines stand between different neighbours: there are at least
-``MIN_CONTEXTS`` as many (line before, line after) pairs as texts.  The last condition tells boilerplate
-from the lines of copied documents, which move together and are left to document-level dedup.
+A template recurs if at least ``MIN_CONSTANT`` of its words are constant and texts of at least ``min_docs``
+families have it.  A text of which more than ``MOST`` (in characters) stands in lines that other texts have too is a
+copy; copies that share their lines are one family, any other text is a family of its own.  So the lines of
+copied documents do not count as boilerplate and are left to document-level dedup, and copies neither make nor
+hide a template.  A text that is mostly boilerplate counts as a copy.
+
+``by="contexts"`` is the rule of op6's SQL: at least ``min_docs`` texts, and at least ``MIN_CONTEXTS`` as many
+(line before, line after) pairs as texts.  It keeps lines whose neighbours are always the same (blank lines, a fixed block).
 
 Only leaves that lines of ``min_docs`` texts reach are generalised, so words are exploded for the few
 lines that may recur.  Every count is a sum of pre-aggregated distinct rows: a line that a third of
@@ -21,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import keep_table
 
-DEPTH, MIN_DOCS, MIN_CONSTANT, MIN_CONTEXTS = 3, 8, 0.5, 0.5
+DEPTH, MIN_DOCS, MIN_CONSTANT, MIN_CONTEXTS, MOST = 3, 8, 0.5, 0.5, 0.5
 _SPACE = " \t\x0b\f\r"
 
 
@@ -51,8 +55,54 @@ def _with_key(docs: DataFrame) -> DataFrame:
             .withColumn("key", F.xxhash64("doc_id", "text")))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def _recurring_by_context(placed: DataFrame, min_docs: int) -> DataFrame:
+    texts = (placed.select("template_key", "text_key").distinct().groupBy("template_key").agg(F.count("*").alias("texts"))
+             .where(F.col("texts") >= min_docs))
+    contexts = (placed.select("template_key", "context").distinct().groupBy("template_key")
+                .agg(F.count("*").alias("contexts")))
+    return (texts.join(contexts, "template_key")
+            .where(F.col("contexts") >= MIN_CONTEXTS * F.col("texts")).select("template_key"))
+
+
+def _families(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(text_key, family) of the copies among ``texts(text_key)``.
+
+    A copy starts in the family of its least shared line, so a family has few starts, however many copies; then a line
+    gets the start that most of its copies have, and a copy the one that most of its characters have."""
+    lines = keep_table(_numbered_lines(docs).join(texts, "text_key")
+                       .groupBy("text_key", F.xxhash64("line").alias("line_key"))
+                       .agg(F.min(F.length("line")).alias("chars")), "text_lines")
+    shared = lines.groupBy("line_key").agg(F.count("*").alias("n")).where("n > 1").select("line_key", F.lit(True).alias("shared"))
+    marked = keep_table(lines.join(shared, "line_key", "left"), "shared_lines")
+    copies = (marked.groupBy("text_key")
+              .agg(F.sum("chars").alias("all"), F.sum(F.when(F.col("shared"), F.col("chars"))).alias("common"),
+                   F.min(F.when(F.col("shared"), F.col("line_key"))).alias("start"))
+              .where(F.col("common") > MOST * F.col("all")).select("text_key", "start"))
+    held = keep_table(marked.where("shared").select("text_key", "line_key", "chars").join(copies, "text_key"), "copied_lines")
+    named = (held.groupBy("line_key", "start").agg(F.count("*").alias("n")).groupBy("line_key")
+             .agg(F.max_by("start", F.struct("n", "start")).alias("name"), F.max("n").alias("most"), F.sum("n").alias("n"))
+             .where("2 * most > n").select("line_key", "name"))
+    return (held.join(named, "line_key", "left").groupBy("text_key", "start", "name").agg(F.sum("chars").alias("chars"))
+            .groupBy("text_key", "start")
+            .agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.struct("chars", "name"))).alias("name"))
+            .select("text_key", F.coalesce("name", "start").alias("family")))
+
+
+def _recurring_by_family(docs: DataFrame, placed: DataFrame, min_docs: int) -> DataFrame:
+    holders = placed.select("template_key", "text_key").distinct()
+    often = holders.groupBy("template_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template_key")
+    holders = keep_table(holders.join(often, "template_key"), "holders")
+    families = _families(docs, holders.select("text_key").distinct())
+    return (holders.join(families, "text_key", "left")
+            .select("template_key", F.col("family").isNull().alias("own"), F.coalesce("family", "text_key").alias("family"))
+            .distinct().groupBy("template_key").agg(F.count("*").alias("n"))
+            .where(F.col("n") >= min_docs).select("template_key"))
+
+
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, by: str = "families") -> DataFrame:
     """(key, line_no, template) of every line whose template recurs; ``docs`` has key and text."""
+    if by not in ("families", "contexts"):
+        raise ValueError(f"by: {by}")
     lines = _numbered_lines(docs).withColumn("leaf", _leaf(F.col("line")))
     leaves = keep_table(lines.select("leaf", "text_key").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
                         .where(F.col("n") >= min_docs).select("leaf"), "leaves")
@@ -75,16 +125,12 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     placed = keep_table(hits.join(templates, ["leaf", "line_key"])
                         .select("key", "text_key", "line_no", "context", "template",
                                 F.xxhash64("template").alias("template_key")), "placed")
-    texts = (placed.select("template_key", "text_key").distinct().groupBy("template_key").agg(F.count("*").alias("texts"))
-             .where(F.col("texts") >= min_docs))
-    contexts = (placed.select("template_key", "context").distinct().groupBy("template_key")
-                .agg(F.count("*").alias("contexts")))
-    recurring = keep_table(texts.join(contexts, "template_key")
-                           .where(F.col("contexts") >= MIN_CONTEXTS * F.col("texts")).select("template_key"), "recurring")
+    recurring = keep_table(_recurring_by_family(docs, placed, min_docs) if by == "families"
+                           else _recurring_by_context(placed, min_docs), "recurring")
     return placed.join(recurring, "template_key").select("key", "line_no", "template")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, by: str = "families") -> DataFrame:
     """One row per row of ``docs``: (doc_id, text, n_lines, n_dropped) without the lines of recurring templates.
 
     Lines end at ``\\n``; blank lines stay.  A null text stays null with no lines, an empty text is one blank
@@ -92,7 +138,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     Only ``doc_id`` and ``text`` are read; an empty table gives an empty result.
     """
     keyed = _with_key(docs)
-    drop = recurring_lines(keyed, min_docs).groupBy("key").agg(F.collect_set("line_no").alias("drop"))
+    drop = recurring_lines(keyed, min_docs, by).groupBy("key").agg(F.collect_set("line_no").alias("drop"))
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
     return (keyed.join(drop, "key", "left")

@@ -118,8 +118,8 @@ from running
 
 @_query
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of ``documents`` left after the removal of templates that recur across documents."""
-    return (drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    """Lines of ``documents`` left after the removal of templates that recur across documents, by the rule of the SQL."""
+    return (drop_recurring_lines(_table(spark, sf_dir, "documents"), by="contexts")
             .select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")))
 
 

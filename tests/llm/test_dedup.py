@@ -170,6 +170,30 @@ def test_line_templates(spark):
     assert drop_recurring_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_boilerplate_with_constant_neighbours(spark):
+    rng = random.Random(12)
+    block = ["Example Press Limited", "12 Harbour Street", "All prices include tax.", "Write to us at any time."]
+    texts, want = {}, {}
+    for i in range(20):  # a notice between blank lines, a fixed block of four lines
+        own = [prose(rng, 14, 10**6) for _ in range(4)]
+        texts[i] = "\n".join([own[0], "", "This notice is on every page.", "", own[1], *block, own[2], own[3]])
+        want[i] = "\n".join([own[0], "", "", own[1], own[2], own[3]])
+    copied = [prose(rng, 14, 10**6) for _ in range(8)]
+    for i in range(100, 300):  # a big family of edited copies has a line that unrelated documents have, too
+        own = copied[:3] + ["Seen here and there alike."] + copied[3:]
+        own[rng.choice([0, 1, 2, 4, 5, 6, 7, 8])] = prose(rng, 14, 10**6)
+        texts[i], want[i] = "\n".join(own), "\n".join(x for x in own if not x.startswith("Seen"))
+    for i in range(300, 312):
+        own = [prose(rng, 14, 10**6) for _ in range(3)]
+        texts[i], want[i] = "\n".join([own[0], "Seen here and there alike.", *own[1:]]), "\n".join(own)
+    for i in range(400, 412):  # three documents, four edited copies each: a line in three families does not recur
+        if i % 4 == 0:
+            base = [prose(rng, 14, 10**6) for _ in range(6)]
+        texts[i] = want[i] = "\n".join([*base[:3], "Only three families say this.", *base[3:], prose(rng, 5, 10**6)])
+    got = {r["doc_id"]: r["text"] for r in line_dedup(frame(spark, texts)).collect()}
+    assert {i for i in texts if got[i] != want[i]} == set()
+
+
 def test_embedding_components(spark):
     rng = np.random.default_rng(1)
     rows, vectors = [], {}
