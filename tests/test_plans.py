@@ -23,6 +23,11 @@ def test_extra_profile_does_not_expand(spark):
     assert "Expand" not in _final_plan(REGISTRY["extra_column_profile"].fn(spark, SF_SMALL))
 
 
+def test_date_issues_are_counted_without_a_limit(spark):
+    plan = _final_plan(REGISTRY["date_issues"].fn(spark, SF_SMALL))
+    assert "Limit" not in plan and "TakeOrdered" not in plan
+
+
 def test_forecast_leaves_no_cache(spark):
     REGISTRY["future_forecast"].fn(spark, SF_SMALL)
     assert "InMemoryTableScan" not in _final_plan(REGISTRY["weekly_sales"].fn(spark, SF_SMALL))
