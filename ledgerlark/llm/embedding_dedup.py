@@ -1,7 +1,8 @@
 """Embedding near-dedup on robust-pruned flat graphs.
 
-Vectors are scaled to unit length; equal vectors of one label are one node.  Nodes of a label (and
-dimension) go to the shards of their ``OVERLAP`` nearest centroids, so shards overlap.  Each shard builds a
+Vectors are scaled to unit length; equal vectors of one label are one node.  Nodes of a label (and dimension) go to
+the shard of their nearest centroid and to every shard whose vectors can lie within the distance of a link (a bound on
+the halfway plane between two centroids), so that linked nodes always share a shard.  Each shard builds a
 flat graph: nearest nodes and random ones as candidates, robust pruning (a candidate goes when ``ALPHA`` times
 its distance to a kept neighbour is at most its distance to the node).  The adjacency lists of all shards are
 united, with their reverse edges, and each shard gets the united lists of its nodes.  There a greedy search runs for
@@ -9,8 +10,9 @@ each node from the shard's medoid and from the node's own place in the graph; wh
 range is expanded over every node within ``SLACK`` of the threshold until no new one is met.  Pairs found
 are verified by cosine in double precision.  ``audit_recall`` compares a sample of nodes with brute force.
 
-Shards hold about ``SHARD`` nodes.  Centroids are fitted on a bounded sample of the whole table; a shard of more
-than ``SHARD_LIMIT`` nodes (a dense region) is cut again by centroids of its own, up to ``MAX_CUTS`` times.
+A shard of more than ``SHARD_LIMIT`` nodes (a dense region) is not cut but compared whole, as blocks of rows by columns
+of at most about ``BLOCK_ROWS`` nodes a side, a task each.  Centroids only save work: they are fitted on a bounded
+sample, and a label stays whole if its nodes would go to more than ``MAX_COPIES`` shards on average.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from ..session import keep_table
 from .components import connected_components
 from .words import mix
 
-SHARD, SHARD_LIMIT, MAX_CUTS, OVERLAP, FIT_ROWS = 1000, 4000, 4, 2, 20_000
+SHARD, SHARD_LIMIT, BLOCK_ROWS, MAX_COPIES, FIT_ROWS = 1000, 4000, 2500, 4, 20_000
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 48, 48, 1.2
 BEAM, SLACK, BLOCK = 24, 0.04, 1024
 
@@ -58,10 +60,17 @@ def _matrix(units) -> np.ndarray:
     return np.stack(rows) if rows else np.zeros((0, 1))
 
 
-def _nearest(x: np.ndarray, centroids: np.ndarray, k: int) -> np.ndarray:
+def _places(x: np.ndarray, centroids: np.ndarray, least: float) -> np.ndarray:
+    """(n, k): whether a vector whose nearest centroid is the k-th can have a cosine of ``least`` with the row.
+
+    If u is nearest to c and v to h, then v (h - c) <= (v - u)(h - c) <= |v - u| |h - c|, and a link is no longer
+    than the root of 2 - 2 least."""
     near = x @ centroids.T
-    k = min(k, near.shape[1])
-    return np.argsort(-near, axis=1, kind="stable")[:, :k]
+    home = near.argmax(1)
+    square = (centroids ** 2).sum(1)
+    apart = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * centroids @ centroids.T, 0))
+    between = np.sqrt(max(2 - 2 * least, 0)) * apart
+    return near[np.arange(len(x)), home][:, None] - near <= between[home] + 1e-6
 
 
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
@@ -205,8 +214,8 @@ def range_search(exact: np.ndarray, x: np.ndarray, graph: Adjacency, start: int,
     return row[near], node[near]
 
 
-def _assign(models):
-    """Rows (space, id, unit): those of a space with centroids move to the spaces of the nearest ones."""
+def _assign(models, least: float):
+    """Rows (space, id, unit): those of a space with centroids go to all shards where they can have a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spaces, units = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -220,36 +229,69 @@ def _assign(models):
                     take.append(np.array(at))
                     names += [space] * len(at)
                 else:
-                    own = _nearest(_matrix([units[i] for i in at]), centroids, OVERLAP)
-                    take.append(np.repeat(at, own.shape[1]))
-                    names += [f"{space}/{c}" for c in own.ravel().tolist()]
+                    row, shard = np.nonzero(_places(_matrix([units[i] for i in at]), centroids, least))
+                    take.append(np.array(at)[row])
+                    names += [f"{space}/{c}" for c in shard.tolist()]
             rows = batch.take(pa.array(np.concatenate(take) if take else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), rows.column(1), rows.column(2)],
                                              ["space", "id", "unit"])
     return run
 
 
-def _shards(nodes: DataFrame) -> DataFrame:
-    """(space, id, unit): the nodes in overlapping shards.  At most FIT_ROWS or so vectors reach the driver a cut."""
+def _model(x: np.ndarray, count: int, least: float) -> np.ndarray | None:
+    """Centroids for a space of ``count`` vectors by its sample: those that leave the fewest pairs to compare, if any."""
+    best, pairs = None, 0.9
+    k = min(len(x), round(count / SHARD))
+    while k > 1:
+        centroids = fit_centroids(x, k)
+        share = np.concatenate([_places(x[i:i + 4096], centroids, least) for i in range(0, len(x), 4096)]).mean(0)
+        if share.sum() <= MAX_COPIES and (share ** 2).sum() < pairs:
+            best, pairs = centroids, float((share ** 2).sum())
+        k //= 4
+    return best
+
+
+def _shards(nodes: DataFrame, least: float) -> DataFrame:
+    """(space, id, unit): the nodes in shards; linked nodes share one.  At most FIT_ROWS or so vectors reach the driver."""
     members = nodes.select(F.concat_ws("|", "label", "dim").alias("space"), "id", "unit")
-    limit = SHARD
-    for _ in range(MAX_CUTS):
-        counts = {r.space: r["count"] for r in members.groupBy("space").count().where(F.col("count") > limit).collect()}
-        if not counts:
-            break
-        share = min(1.0, FIT_ROWS / sum(counts.values()))
-        drawn: dict[str, list] = {}
-        for r in (members.where(F.col("space").isin(list(counts)))
-                  .where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).select("space", "unit").collect()):
-            drawn.setdefault(r.space, []).append(r.unit)
-        models = {}
-        for space, units in drawn.items():
-            x = _matrix(sorted(units))
-            models[space] = fit_centroids(x, max(1, min(len(x), round(counts[space] / SHARD))))
-        shared = members.sparkSession.sparkContext.broadcast({k: c for k, c in models.items() if len(c) > 1})
-        members = keep_table(members.mapInArrow(_assign(shared), "space string, id long, unit binary").distinct(), "shards")
-        limit = SHARD_LIMIT
-    return members
+    counts = {r.space: r["count"] for r in members.groupBy("space").count().where(F.col("count") > SHARD).collect()}
+    if not counts:
+        return members
+    share = min(1.0, FIT_ROWS / sum(counts.values()))
+    drawn: dict[str, list] = {}
+    for r in (members.where(F.col("space").isin(list(counts)))
+              .where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share * 1_000_003).select("space", "unit").collect()):
+        drawn.setdefault(r.space, []).append(r.unit)
+    models = {space: _model(_matrix(sorted(units)), counts[space], least) for space, units in drawn.items()}
+    shared = members.sparkSession.sparkContext.broadcast({k: c for k, c in models.items() if c is not None})
+    return members.mapInArrow(_assign(shared, least), "space string, id long, unit binary")
+
+
+def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(space, rows, columns, part, id, unit): every two of a shard's parts meet in one block."""
+    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    dealt = members.join(sizes, "space").withColumn("parts", parts).withColumn(
+        "part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "space", F.least("part", "other").alias("rows"), F.greatest("part", "other").alias("columns"), "part", "id", "unit")
+
+
+def _compare(least: float):
+    def run(key, rows):
+        import pandas as pd
+
+        one, two = rows[rows.part == key[1]], rows[rows.part == key[2]]
+        a, x, b, y = one.id.to_numpy(), _matrix(one.unit), two.id.to_numpy(), _matrix(two.unit)
+        found = [np.zeros((2, 0), np.int64)]
+        for lo in range(0, len(a), BLOCK):
+            if len(b):
+                i, j = np.nonzero(x[lo:lo + BLOCK] @ y.T >= least)
+                i, j = a[i + lo], b[j]
+                keep = i < j if key[1] == key[2] else slice(None)
+                found.append(np.stack([np.minimum(i, j)[keep], np.maximum(i, j)[keep]]))
+        pairs = np.concatenate(found, 1)
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+    return run
 
 
 def _build(rows):
@@ -300,12 +342,17 @@ def usable_nodes(vectors: DataFrame) -> DataFrame:
 
 def embedding_links(nodes: DataFrame, least: float) -> DataFrame:
     """Pairs (a < b) of ``nodes(id, label, dim, unit)`` with equal label and cosine >= least, as the search finds them."""
-    members = keep_table(_shards(nodes), "members")
+    every = keep_table(_shards(nodes, least), "members")
+    sizes = keep_table(every.groupBy("space").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_LIMIT), "sizes")
+    members = keep_table(every.join(sizes, "space", "left_anti"), "shards")
     edges = keep_table(members.groupBy("space").applyInPandas(_build, "a long, b long").distinct(), "edges")
     united = keep_table(edges.join(members.select("space", F.col("id").alias("a")), "a").select("space", "a", "b"),
                         "graph")
-    return (members.groupBy("space").cogroup(united.groupBy("space"))
-            .applyInPandas(_search(least), "a long, b long").distinct())
+    searched = (members.groupBy("space").cogroup(united.groupBy("space"))
+                .applyInPandas(_search(least), "a long, b long"))
+    compared = (_blocks(every, sizes).groupBy("space", "rows", "columns")
+                .applyInPandas(_compare(least), "a long, b long"))
+    return searched.unionByName(compared).distinct()
 
 
 def embedding_components(vectors: DataFrame, least: float = 0.98) -> DataFrame:

@@ -237,6 +237,31 @@ def test_embedding_recall_over_shards(spark, monkeypatch):
     assert there > 100 and hit >= 0.9 * there
 
 
+def test_embedding_links_of_a_dense_group_over_the_limit(spark, monkeypatch):
+    for name, value in (("SHARD", 50), ("SHARD_LIMIT", 100), ("BLOCK_ROWS", 60)):
+        monkeypatch.setattr(embedding_dedup, name, value, raising=False)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(size=(300, 16)) * 0.05, rng.normal(size=(300, 16))])
+    x = np.concatenate([x, x[300:400] + rng.normal(size=(100, 16)) * 0.12])  # a group, background, single pairs
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    degree = (unit @ unit.T >= 0.98).sum(1) - 1
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    got = embedding_dedup.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert degree[:300].sum() > 50_000 and degree[300:400].sum() > 20
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == dict(enumerate(degree.tolist()))
+
+
+def test_linked_vectors_share_a_place():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centroids = embedding_dedup.fit_centroids(x, 40)
+    places = embedding_dedup._places(x, centroids, 0.98)
+    a, b = np.nonzero(x @ x.T >= 0.98)
+    home = (x @ centroids.T).argmax(1)
+    assert len(a) > 4500 and places[b, home[a]].all() and places.mean() < 0.5
+
+
 def test_prune_keeps_the_nearest():
     x = np.random.default_rng(0).normal(size=(300, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
