@@ -17,6 +17,7 @@ from .minhash_dedup import minhash_components
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
 from .trie_counts import count_tokens, load_piece_scores
+from .turn_repair import damaged_turns, repair_report
 from .winnowing import edited_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +230,9 @@ reach(doc_id, other) as (
 select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(other) as component_id, min(other) = d.doc_id as kept
 from reach d left join sizes using (doc_id) group by d.doc_id
 """
+
+
+@_query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after planted damage."""
+    return repair_report(damaged_turns(_table(spark, sf_dir, "conversations")), alive="alive")
