@@ -12,6 +12,7 @@ from .backoff_lm import backoff_scores
 from .bpe import encode_documents
 from .embedding_dedup import embedding_components
 from .language_id import held_out, identify_languages
+from .license_index import AGREE, LOOKUPS, TEMPLATES, scan_licenses
 from .line_templates import drop_recurring_lines
 from .minhash_dedup import minhash_components
 from .source_mix import mix_sources
@@ -236,3 +237,58 @@ from reach d left join sizes using (doc_id) group by d.doc_id
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired text of every conversation after planted damage."""
     return repair_report(damaged_turns(_table(spark, sf_dir, "conversations")), alive="alive")
+
+
+@_query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document, found by a positional index of rare words."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_TEMPLATE_ROWS = ",\n  ".join(
+    f"({n}, '{t.label}', {str(t.base).lower()}, {_sql_list(t.words)}, "
+    + "[" + ", ".join(f"{{'q': {q}, 'k': {_sql_list(k)}}}" for q, k in t.key_places) + "])"
+    for n, t in enumerate(TEMPLATES))
+
+ORACLES["op12_license_scan"] = rf"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+templates(t, label, base, words, keys) as (values
+  {_TEMPLATE_ROWS}),
+cells as (
+  select t, word, min(q) - 1 as q
+  from (select t, unnest(words) as word, generate_subscripts(words, 1) as q from templates) group by all),
+hits as (
+  select r, word, i - 1 as i from (select r, unnest(w) as word, generate_subscripts(w, 1) as i from docs)
+  where word in (select word from cells)),
+df as (select word, count(distinct r) as df from hits group by word),
+rare as (
+  select t, word, q, count(*) over (partition by t) as m
+  from (select *, row_number() over (partition by t order by df, q) as rank from cells join df using (word))
+  where rank <= {LOOKUPS}),
+starts as (
+  select h.r, x.t, h.i - x.q as start from hits h join rare x on h.word = x.word
+  group by all having count(*) >= ceil({AGREE} * any_value(x.m))),
+places as (
+  select s.r, p.label, p.base, s.start,
+         len(list_filter(range(1, len(p.words) + 1), lambda j: s.start + j >= 1 and d.w[s.start + j] = p.words[j]))
+           / len(p.words)::double as share
+  from starts s join templates p on s.t = p.t join docs d on s.r = d.r
+  where len(list_filter(p.keys, lambda k: s.start + k.q >= 0 and d.w[s.start + k.q + 1:s.start + k.q + len(k.k)] = k.k))
+        = len(p.keys)),
+found as (
+  select r, count(*) filter (base) as n_base, min(start) filter (base) as first_word, max(start) filter (base) as last_word,
+         array_to_string(list_sort(list(distinct label) filter (base)), ',') as base_labels,
+         array_to_string(list_sort(list(distinct label)), ',') as labels, max(share) as score
+  from places group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
+       last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+       coalesce(score, 0)::double as score
+from docs left join found using (r)
+"""
