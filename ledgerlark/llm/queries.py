@@ -15,6 +15,7 @@ from .language_id import held_out, identify_languages
 from .license_index import AGREE, LOOKUPS, TEMPLATES, scan_licenses
 from .line_templates import drop_recurring_lines
 from .minhash_dedup import minhash_components
+from .phrase_mining import mine_phrases
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
 from .trie_counts import count_tokens, load_piece_scores
@@ -292,3 +293,49 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
        coalesce(score, 0)::double as score
 from docs left join found using (r)
 """
+
+
+@_query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two or three words of every language of ``documents``."""
+    return mine_phrases(_table(spark, sf_dir, "documents"), max_words=3, min_count=10, inside_percent=50, top=2000)
+
+
+ORACLES["op13_phrase_collocations"] = r"""
+with pieces as (
+  select lang, unnest(parts) as piece, d * 1000000000 + generate_subscripts(parts, 1) as p from (
+    select coalesce(lang, 'und') as lang, row_number() over () as d, regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') as parts
+    from documents)),
+words as (
+  select lang, p, unnest(w) as w1, generate_subscripts(w, 1) as i
+  from (select lang, p, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces)),
+next as (
+  select lang, w1, lead(w1) over piece as w2, lead(w1, 2) over piece as w3 from words window piece as (partition by p order by i)),
+one as (select lang, w1, count(*) as f from next group by all),
+two as (select lang, w1, w2, count(*) as f from next where w2 is not null group by all),
+three as (select lang, w1, w2, w3, count(*) as f from next where w3 is not null group by all having count(*) >= 10),
+cuts as (
+  select t.lang, t.w1, t.w2, null as w3, t.f as a, 1 as k, x.f as l, y.f as r
+  from two t join one x on x.lang = t.lang and x.w1 = t.w1 join one y on y.lang = t.lang and y.w1 = t.w2 where t.f >= 10
+  union all
+  select t.lang, t.w1, t.w2, t.w3, t.f, 1, x.f, y.f
+  from three t join one x on x.lang = t.lang and x.w1 = t.w1 join two y on y.lang = t.lang and y.w1 = t.w2 and y.w2 = t.w3
+  union all
+  select t.lang, t.w1, t.w2, t.w3, t.f, 2, x.f, y.f
+  from three t join two x on x.lang = t.lang and x.w1 = t.w1 and x.w2 = t.w2 join one y on y.lang = t.lang and y.w1 = t.w3),
+scored as (select *, (1000000 * a::hugeint * a::hugeint) // (l::hugeint * r::hugeint) as score from cuts),
+lowest as (
+  select * from scored qualify row_number() over (partition by lang, w1, w2, w3 order by score, k) = 1),
+held as (
+  select lang, w1, w2, max(f) as f from (
+    select lang, w1, w2, f from three union all select lang, w2, w3, f from three) group by all),
+free as (
+  select s.*, concat_ws(' ', s.w1, s.w2, s.w3) as phrase from lowest s
+  left join held h on s.w3 is null and h.lang = s.lang and h.w1 = s.w1 and h.w2 = s.w2
+  where h.f is null or 100 * h.f < 50 * s.a),
+totals as (select lang, sum(f) as n from one group by lang)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from free)
+join totals using (lang) where rank <= 2000
+"""
