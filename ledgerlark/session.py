@@ -12,6 +12,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,8 @@ _LOCAL_DEFAULTS = {
     "spark.sql.legacy.javaCharsets": "true",
 }
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "ledgerlark") -> SparkSession:
@@ -66,13 +70,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def keep_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+def keep_table(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet (with the writer's ``options``) under the shared checkpoint folder and read it back.
 
     Cuts lineage like a checkpoint, and the reread table has a known size, so that joins on it
     are planned by it.  The files stay until the folder's own retention removes them.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_path = path
+    return kept
+
+
+def drop_table(kept: DataFrame) -> None:
+    """Remove a table that ``keep_table`` wrote; only for tables that no later step and no returned DataFrame reads."""
+    context = kept.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(kept.kept_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, an execution's shuffle files go when it ends (not when the driver next collects garbage).
+
+    For steps that each write a table and are followed by steps that read it.
+    """
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_RELEASE)
+        else:
+            spark.conf.set(_RELEASE, before)
