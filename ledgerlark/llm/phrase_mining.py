@@ -33,10 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import keep_table
+from ..session import drop_table, keep_table, released_shuffles
 
-BLOCK_BYTES = 32 << 20
-SLICE_BYTES = 2 << 20
+BLOCK_BYTES = 12 << 20
+SLICE_BYTES = 1 << 20
 BLOCKS_A_TASK = 1 << 10
 UNKNOWN = "und"
 
@@ -45,6 +45,9 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdef
 _RELATION = "block long, relation binary"
 _COUNTED = "place long, left long, right long, n long"
 _ROWS = 1 << 16
+#: A block row is compressed already and some MB long: no second compression, no dictionary, a page for each row.
+_LARGE_VALUES = {"compression": "uncompressed", "parquet.enable.dictionary": "false",
+                 "parquet.page.size.row.check.min": "1"}
 
 
 # ---- a block's relation --------------------------------------------------------------------------
@@ -150,16 +153,10 @@ def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def _joined(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge-join of each position with the next: (pairs left * width + right, their numbers by position, counts)."""
-    out = np.full(len(codes), -1, np.int32)
-    if len(codes) < 2:
-        return np.zeros(0, np.int64), out, np.zeros(0, np.int64)
+def _adjacent(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge-join of each position with the next of its piece: (positions, keys left * width + right)."""
     at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
-    pairs, number, counts = np.unique(codes[at].astype(np.int64) * width + codes[at + 1], return_inverse=True,
-                                      return_counts=True)
-    out[at] = number
-    return pairs, out, counts
+    return at, codes[at].astype(np.int64) * width + codes[at + 1]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +167,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, (codes, groups) in _relations(batches):
-        pairs, _, counts = _joined(codes, len(groups))
         ids, width = _numbers(groups, "id"), max(len(groups), 1)
+        pairs, counts = np.unique(_adjacent(codes, width)[1], return_counts=True)
         place = (block << 32) + np.arange(len(pairs), dtype=np.int64)
         yield from _sliced(pa.table({"place": place, "left": ids[pairs // width], "right": ids[pairs % width],
                                      "n": counts.astype(np.int64)}))
@@ -181,6 +178,7 @@ def _relations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[n
     for batch in batches:
         for block, relation in zip(batch.column(0).to_pylist(), batch.column(1)):
             yield block, _unpack(relation)
+            pa.default_memory_pool().release_unused()
 
 
 def _sliced(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -189,27 +187,29 @@ def _sliced(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _frequent_words(codes: np.ndarray, groups: pa.Table, gid: np.ndarray) -> tuple[np.ndarray, pa.Table]:
     kept = groups.take(pa.array(gid))
-    return _renumbered(codes, gid, len(groups)), pa.table({"phrase": kept["phrase"], "last": kept["phrase"], "lang": kept["lang"]})
+    number = np.full(len(groups) + 1, -1, np.int32)  # the code -1 picks the last entry
+    number[gid] = np.arange(len(gid), dtype=np.int32)
+    return number[codes], pa.table({"phrase": kept["phrase"], "last": kept["phrase"], "lang": kept["lang"]})
 
 
 def _frequent_pairs(codes: np.ndarray, groups: pa.Table, gid: np.ndarray) -> tuple[np.ndarray, pa.Table]:
     """Occurrences of the pairs numbered ``gid``, with the parts' ids and the counts of all heads and tails."""
     width = max(len(groups), 1)
-    pairs, out, _ = _joined(codes, len(groups))
-    left, right = pa.array(pairs[gid] // width), pa.array(pairs[gid] % width)
+    at, keys = _adjacent(codes, width)
+    pairs = np.unique(keys)[gid]
+    left, right = pa.array(pairs // width), pa.array(pairs % width)
     a, b = groups.take(left), groups.take(right)
     size = 1 + sum(c.startswith("head") for c in groups.column_names)  # words of the joined phrases
     columns = {"phrase": pc.binary_join_element_wise(a["phrase"], b["last"], " "), "last": b["last"], "lang": a["lang"],
                "left": a["id"], "right": b["id"]}
     for k in range(1, size):
         columns |= {f"head{k}": a[f"head{k}"], f"tail{k}": b[f"tail{k}"]}
-    return _renumbered(out, gid, len(pairs)), pa.table(columns | {f"head{size}": a["total"], f"tail{size}": b["total"]})
-
-
-def _renumbered(codes: np.ndarray, gid: np.ndarray, size: int) -> np.ndarray:
-    number = np.full(size + 1, -1, np.int32)
-    number[gid] = np.arange(len(gid), dtype=np.int32)
-    return number[codes]  # -1 picks the last entry, which is -1
+    out = np.full(len(codes), -1, np.int32)
+    for lo in range(0, len(at), _ROWS) if len(pairs) else ():
+        key = keys[lo:lo + _ROWS]
+        number = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        out[at[lo:lo + _ROWS]] = np.where(pairs[number] == key, number, -1)
+    return out, pa.table(columns | {f"head{size}": a["total"], f"tail{size}": b["total"]})
 
 
 def _semi_join(step, last: bool):
@@ -227,8 +227,9 @@ def _semi_join(step, last: bool):
             for name in ("id", "total"):
                 kept = kept.append_column(name, pa.array(_numbers(rows, name)[order] if rows else [], pa.int64()))
             kept = kept.append_column("owner", pa.array(_numbers(kept, "id") == places[order], pa.bool_()))
-            return pa.record_batch({"block": pa.array([block], pa.int64()),
-                                    "relation": pa.array([_pack(codes[:0] if last else codes, kept)], pa.binary())})
+            packed = _pack(codes[:0] if last else codes, kept)
+            pa.default_memory_pool().release_unused()
+            return pa.record_batch({"block": pa.array([block], pa.int64()), "relation": pa.array([packed], pa.binary())})
 
         for batch in batches:
             relations, groups = batch.column(1), batch.select(["place", "id", "total"])
@@ -253,7 +254,7 @@ def _semi_join(step, last: bool):
 def word_relation(docs: DataFrame) -> DataFrame:
     """R(0): all words of all texts in blocks of sorted positions."""
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return keep_table(texts.mapInArrow(_word_blocks, _RELATION), "setm-words")
+    return keep_table(texts.mapInArrow(_word_blocks, _RELATION), "setm-words", **_LARGE_VALUES)
 
 
 def _frequent(counted: DataFrame, key: list[str], min_count: int) -> DataFrame:
@@ -269,7 +270,7 @@ def _kept_occurrences(relation: DataFrame, frequent: DataFrame, step, name: str,
     rows = relation.select("block", "relation", none.alias("place"), none.alias("id"), none.alias("total")).unionByName(
         frequent.select("block", F.lit(None).cast("binary").alias("relation"), "place", "id", "total"))
     stream = rows.repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_first())
-    return keep_table(stream.mapInArrow(_semi_join(step, last), _RELATION), name)
+    return keep_table(stream.mapInArrow(_semi_join(step, last), _RELATION), name, **_LARGE_VALUES)
 
 
 _CANDIDATE = ("id long, left long, right long, lang string, phrase string, words int, a long, l long, r long, score long")
@@ -297,18 +298,23 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def phrase_candidates(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> tuple[DataFrame, DataFrame]:
     """(candidates of 2 to ``max_words`` words with their counts and score, word occurrences ``n`` by lang)."""
-    relation = word_relation(docs)
-    words = relation.mapInArrow(_word_counts, "place long, lang string, phrase string, n long")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    relation = _kept_occurrences(relation, _frequent(words, ["lang", "phrase"], min_count), _frequent_words, "setm-1", False)
-    found = None
-    for size in range(2, max_words + 1):
-        pairs = relation.mapInArrow(_pair_counts, _COUNTED)
-        relation = _kept_occurrences(relation, _frequent(pairs, ["left", "right"], min_count), _frequent_pairs,
-                                     f"setm-{size}", size == max_words)
-        scored = relation.mapInArrow(_scored, _CANDIDATE)
-        found = scored if found is None else found.unionByName(scored)
-    return keep_table(found, "setm-candidates"), totals
+    with released_shuffles(docs.sparkSession):  # only tables go from step to step
+        before = word_relation(docs)
+        words = before.mapInArrow(_word_counts, "place long, lang string, phrase string, n long")
+        totals = keep_table(words.groupBy("lang").agg(F.sum("n").alias("n")), "setm-totals")
+        relation = _kept_occurrences(before, _frequent(words, ["lang", "phrase"], min_count), _frequent_words,
+                                     "setm-1", False)
+        found = None
+        for size in range(2, max_words + 1):
+            drop_table(before)
+            before, pairs = relation, relation.mapInArrow(_pair_counts, _COUNTED)
+            relation = _kept_occurrences(before, _frequent(pairs, ["left", "right"], min_count), _frequent_pairs,
+                                         f"setm-{size}", size == max_words)
+            scored = keep_table(relation.mapInArrow(_scored, _CANDIDATE), f"setm-candidates-{size}")
+            found = scored if found is None else found.unionByName(scored)
+        drop_table(before)
+        drop_table(relation)
+    return found, totals
 
 
 def mine_phrases(docs: DataFrame, max_words: int = 3, min_count: int = 10, inside_percent: int = 50,

@@ -78,7 +78,7 @@ def test_small_blocks_and_slices(spark, monkeypatch):
     plain = [re.findall(r"[^\x20\x09]+", p) for p in re.split(r"[.,;:!?\x0A-\x0D]", lower(text))]
     names = groups["phrase"].to_pylist()
     assert [names[c] for c in codes if c >= 0] == [w for p in plain for w in p]
-    pairs, _, counts = pm._joined(codes, len(groups))
+    pairs, counts = pm.np.unique(pm._adjacent(codes, len(groups))[1], return_counts=True)
     assert dict(zip(((names[p // len(names)], names[p % len(names)]) for p in pairs), counts)) == Counter(
         (a, b) for p in plain for a, b in zip(p, p[1:]))
     df = frame(spark, {}, [(i, t, lang, "s", 1) for i, (lang, t) in enumerate(rows)]).repartition(5)
