@@ -382,7 +382,7 @@ def q_model_choice(spark, d):
 
 @register("forest_forecast")
 def q_forest(spark, d):
-    """MLlib random forest: test predictions and 12 future weeks."""
+    """Random forest: test predictions and 12 future weeks."""
     wk = weekly(spark, d)
     split = L.train_test_split(wk)
     return L.forest_forecast(split, wk, L.feature_selection(split))
