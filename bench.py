@@ -2,7 +2,8 @@
 
 Each query is planned from the registry and fully executed through the
 ``noop`` sink (no collect cost); one warm-up run, then the median of
-$BENCH_RUNS timed runs.  Prints ONE JSON line.
+$BENCH_RUNS timed runs.  Each query's time goes to stderr as it ends; a query stopped after
+$BENCH_QUERY_SEC seconds counts as null.  Prints ONE JSON line.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import json
 import os
 import statistics
 import sys
+import threading
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -42,12 +44,22 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cores=cpus, shuffle_partitions=max(8, int(cpus) * 2 if cpus.isdigit() else 16))
-    times: dict[str, float] = {}
+    limit = float(os.environ.get("BENCH_QUERY_SEC", "240"))  # for all runs of one query
+    times: dict[str, float | None] = {}
     for name in names:
-        run_once(spark, name, sf_dir)  # warm-up (JIT, codegen, file listing)
-        times[name] = round(statistics.median(run_once(spark, name, sf_dir) for _ in range(runs)), 3)
+        stop = threading.Timer(limit, spark.sparkContext.cancelAllJobs)
+        stop.start()
+        try:
+            run_once(spark, name, sf_dir)  # warm-up (JIT, codegen, file listing)
+            times[name] = round(statistics.median(run_once(spark, name, sf_dir) for _ in range(runs)), 3)
+        except Exception as error:  # noqa: BLE001 - one query must not lose the others' numbers
+            times[name] = None
+            print(f"{name}: {type(error).__name__}", file=sys.stderr, flush=True)
+        finally:
+            stop.cancel()
+        print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(t for t in times.values() if t is not None), 3),
                       "unit": "sec", "queries": times, "sf": sf}))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,17 +36,41 @@ def strip_ws(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def _byte_letters() -> tuple[str, str]:
+    """Letters that windows-1252 or windows-1254 shows for a byte, and the Latin-1 letter of that byte."""
+    shown: dict[str, str] = {}
+    for codec in ("cp1252", "cp1254"):
+        for byte in range(0x80, 0x100):
+            letter = bytes([byte]).decode(codec, "ignore")
+            if letter and letter != chr(byte):
+                shown.setdefault(letter, chr(byte))
+    return "".join(shown), "".join(shown.values())
+
+
+SHOWN, LATIN1 = _byte_letters()
+CP1252 = sum(chr(b) != bytes([b]).decode("cp1252", "ignore") != "" for b in range(0x80, 0x100))  # the first of them
+#: Damage may be repeated (text read wrongly, stored and read wrongly again).
+REPAIRS = 4
+
+
 def fix_mojibake(c: Column) -> Column:
-    """Undo UTF-8 read as Latin-1 (``Ã§ay`` -> ``çay``), gated and validated.
+    """Undo UTF-8 read as Latin-1, windows-1252 or windows-1254 (``Ã§ay`` -> ``çay``, ``ÅŸeker`` -> ``şeker``).
 
-    Only strings that hold a typical marker (cheap byte search) and no
-    character above U+00FF are round-tripped; the result is kept only if it
-    is valid UTF-8.
+    Only strings that hold a typical marker (cheap byte search) are looked at.  Their letters go back to the bytes
+    they stand for; a round counts only if every letter is one byte and the bytes are valid UTF-8.  Rounds repeat
+    (up to ``REPAIRS``) until nothing changes; text without damage is never touched.
     """
-    marker = c.contains("Ã") | c.contains("Å") | c.contains("Ä") | c.contains("Â")
-    gate = marker & ~c.rlike("[^\\x{0000}-\\x{00FF}]")
-    raw = F.try_validate_utf8(F.when(gate, F.encode(c, "ISO-8859-1")))
-    return F.when(marker, F.coalesce(F.decode(raw, "UTF-8"), c)).otherwise(c)
+    def marked(x: Column) -> Column:
+        marks = [x.contains(m) for m in ("Ã", "Å", "Ä", "Â", "â€", "â\x80")]
+        return reduce(or_, marks)
+
+    def once(x: Column) -> Column:
+        latin1 = F.translate(x, SHOWN, LATIN1)
+        raw = F.when(~latin1.rlike("[^\\x{0000}-\\x{00FF}]"), F.encode(latin1, "ISO-8859-1"))
+        return F.when(marked(x), F.coalesce(F.decode(F.try_validate_utf8(raw), "UTF-8"), x)).otherwise(x)
+
+    rounds = F.array(*[F.lit(i) for i in range(REPAIRS)])
+    return F.when(marked(c), F.aggregate(rounds, c, lambda x, _: once(x))).otherwise(c)
 
 
 _OTHER_WS = WHITESPACE.replace(" ", "")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import with_date_tokens
 from ..functions.numbers import parse_number_fallback, parse_number_lenient, with_strict_number
-from ..functions.text import clean_product_name, clean_text, null_placeholders
+from ..functions.text import CP1252, LATIN1, SHOWN, clean_product_name, clean_text, fix_mojibake, null_placeholders
 from ..operators.clean import clean_sales, standardize
 from ..sources.tables import DIRTY_MAPPING, dirty_sales
 from . import sql as Q
@@ -75,6 +75,23 @@ def q_clean_text(spark, d):
     return raw.select(F.col(PRODUCT_SRC).alias("raw"), clean_text(F.col(PRODUCT_SRC)).alias("cleaned"))
 
 
+@register("repair_text", """
+select doc_id, md5(coalesce(text, '')) as latin1, md5(coalesce(text, '')) as windows, md5(coalesce(text, '')) as twice
+from documents""")
+def q_repair_text(spark, d):
+    """C1 round trip: whole texts read as Latin-1, as windows-1252, and twice as windows-1252, repaired."""
+    def latin1(x):
+        return F.decode(F.encode(x, "UTF-8"), "ISO-8859-1")
+
+    def windows(x):
+        return F.translate(latin1(x), LATIN1[:CP1252], SHOWN[:CP1252])
+
+    text = F.coalesce("text", F.lit(""))
+    damaged = {"latin1": latin1(text), "windows": windows(text), "twice": windows(windows(text))}
+    docs = spark.read.parquet(f"{d.rstrip('/')}/documents.parquet").select("doc_id", "text").withColumns(damaged)
+    return docs.select("doc_id", *[F.md5(fix_mojibake(F.col(c))).alias(c) for c in damaged])
+
+
 @register("null_placeholders", Q.with_(Q.SALES, Q.DIRTY) + """
 select "Miktar" as raw, case when h % 50 = 7 then null else "Miktar" end as cleaned from dirty""")
 def q_null_placeholders(spark, d):
@@ -249,8 +266,7 @@ _BAD = """, bad as (
 
 
 @register("date_issues", Q.with_(Q.SALES).rstrip() + _BAD + """
-select reason, value, count(*) as n from (
-  select reason, value from bad where reason is not null order by reason <> 'both_sides_over_12' limit 1000000) x group by all""")
+select reason, value, count(*) as n from bad where reason is not null group by all""")
 def q_date_issues(spark, d):
     """C16 on dates with planted defects; all issues, counted by reason and value."""
     std = standardize(_with_bad_dates(spark, d), DIRTY_MAPPING, keep=TRUTH)

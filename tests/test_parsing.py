@@ -4,6 +4,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.numbers import clean_number, parse_number_lenient, parse_number_strict, round2
+from ledgerlark.functions import text
 from ledgerlark.functions.text import clean_product_name, clean_text, normalize_name, null_placeholders
 from ledgerlark.operators.clean import clean_sales
 
@@ -106,3 +107,18 @@ def test_month_name_dates(spark):
              "2024.Mart": dt.date(2024, 3, 1), "Sept. 2021": dt.date(2021, 9, 1), "15 Mart": None, "Foo 2024": None}
     df = spark.createDataFrame([(v,) for v in cases], "v string")
     assert [r[0] for r in df.select(parse_text_date(F.col("v"), F.lit("day_month"))).collect()] == list(cases.values())
+
+
+def test_repair_of_text_read_as_windows(spark):
+    def shown(text, codec):
+        return "".join(bytes([b]).decode(codec, "ignore") or chr(b) for b in text.encode())
+
+    whole = ["çay", "şeker", "ağaç", "Şişe İğne ÖÜ", "it’s “quoted” – €5", "日本 é", "plain", "ÀÁÂÃÄÅ"]
+    bad = [shown(t, codec) for t in whole for codec in ("latin-1", "cp1252", "cp1254")]
+    bad += [shown(shown(t, codec), codec) for t in whole[:6] for codec in ("cp1252", "cp1254")]
+    want = [t for t in whole for _ in range(3)] + [t for t in whole[:6] for _ in range(2)]
+    kept = ["Ãx", "çay Ã§ay", "日本Ã", "Ä", "â€", "naïve Â", None, ""]  # no valid bytes: left alone
+    rows = [(i, t) for i, t in enumerate(bad + kept)]
+    got = [r["x"] for r in spark.createDataFrame(rows, "i int, t string").orderBy("i")
+           .select(text.fix_mojibake(F.col("t")).alias("x")).collect()]
+    assert got == want + kept
