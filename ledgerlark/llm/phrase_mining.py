@@ -308,8 +308,10 @@ def phrase_candidates(docs: DataFrame, max_words: int = 3, min_count: int = 10)
         for size in range(2, max_words + 1):
             drop_table(before)
             before, pairs = relation, relation.mapInArrow(_pair_counts, _COUNTED)
-            relation = _kept_occurrences(before, _frequent(pairs, ["left", "right"], min_count), _frequent_pairs,
-                                         f"setm-{size}", size == max_words)
+            frequent = _frequent(pairs, ["left", "right"], min_count)
+            if size == max_words:  # nothing is extended any more: the blocks that own the phrases are enough
+                frequent = frequent.where("place = id")
+            relation = _kept_occurrences(before, frequent, _frequent_pairs, f"setm-{size}", size == max_words)
             scored = keep_table(relation.mapInArrow(_scored, _CANDIDATE), f"setm-candidates-{size}")
             found = scored if found is None else found.unionByName(scored)
         drop_table(before)
