@@ -19,6 +19,7 @@ from .phrase_mining import mine_phrases
 from .source_mix import mix_sources
 from .substring_dedup import remove_repeats
 from .trie_counts import count_tokens, load_piece_scores
+from . import turn_repair
 from .turn_repair import damaged_turns, repair_report
 from .winnowing import edited_fingerprints
 
@@ -339,3 +340,91 @@ select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bi
 from (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from free)
 join totals using (lang) where rank <= 2000
 """
+
+
+def _crc_table() -> str:
+    """The 256 values of CRC-32 by its rule: eight halvings of the byte."""
+    table = "range(256)"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda c: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)"
+    return table
+
+
+def _edit_rows() -> str:
+    """(state, initial or null, piece of audit, state behind, cost): up to three inserts, then an edit of the row."""
+    rows = []
+    for state in range(4):
+        at = state
+        for inserts in range(4):
+            cost, piece = inserts * turn_repair.INSERT_COST, turn_repair.INSERT * inserts
+            rows.append((state, "null", piece + turn_repair.DELETE, at, cost + turn_repair.DELETE_COST))
+            for initial in "suao":
+                if (at, initial) in turn_repair.KEPT_STATE:
+                    rows.append((state, f"'{initial}'", piece + turn_repair.KEEP, turn_repair.KEPT_STATE[at, initial], cost))
+                rows.append((state, f"'{initial}'", piece + turn_repair.REROLE, turn_repair.NEXT_STATE[at],
+                             cost + turn_repair.REROLE_COST))
+            at = turn_repair.NEXT_STATE[at]
+    return ", ".join(f"({q}, {i}, '{p}', {to}, {c})" for q, i, p, to, c in rows)
+
+
+ORACLES["op11_conversation_repair"] = rf"""
+with recursive
+crc as (select {_crc_table()} as t),
+keyed as (
+  select dense_rank() over (order by conv_id nulls first) as c, conv_id, turn, coalesce(role, ' ') as role,
+         coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key
+  from conversations),
+coded as (
+  select k.*, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(key, ''), lambda ch: ascii(ch)::bigint)),
+                              lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 as fault
+  from keyed k, crc),
+damaged as (
+  select c, turn, case when fault = 4 then 'user' else role end as role,
+         case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(case when fault = 3 then [0, 1] else [0] end) as copy
+  from coded where fault <> 0),
+numbered as (
+  select *, row_number() over (partition by c order by turn nulls first, md5(length(role) || ':' || role || ':' || text), copy) as i,
+         right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as mark,
+         case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'o' end as initial
+  from damaged),
+marked as (
+  select *, mark = '' as blank, mark <> '' and row_number() over (partition by c, role, text order by i) > 1 as copied,
+         lag(initial) over (partition by c order by i) as before
+  from numbered),
+turns as (select *, not blank and not copied and mark not in ('.', '!', '?') as cut from marked),
+edits(q, initial, piece, q2, cost) as (values {_edit_rows()}),
+best(c, i, q, b) as (
+  select c, max(i) + 1, q, struct_pack(cost := cost, audit := audit)
+  from turns, (values (0, 0, ''), (1, 6, 'II'), (2, 3, 'I'), (3, 0, '')) e(q, cost, audit) group by c, q, cost, audit
+  union all
+  select t.c, t.i, e.q, min(struct_pack(cost := b.b.cost + e.cost
+                                        + case when t.cut and e.initial is not null then 3 else 0 end, audit := e.piece || b.b.audit))
+  from best b join turns t on t.c = b.c and t.i = b.i - 1
+  join edits e on e.q2 = b.q and (e.initial is null or (not t.blank and not t.copied and e.initial = t.initial))
+  group by t.c, t.i, e.q),
+chosen as (select c, b.cost as cost, b.audit as audit from best where i = 1 and q = 0),
+letters as (
+  select c, unnest(string_split(audit, '')) as edit, generate_subscripts(string_split(audit, ''), 1) as j from chosen),
+placed as (select *, count(*) filter (edit <> 'I') over (partition by c order by j) as i from letters),
+left_rows as (
+  select p.c, p.j, p.edit, case when p.edit = 'K' then t.role end as role, case when p.edit = 'I' then '' else t.text end as text,
+         row_number() over (partition by p.c order by p.j) as e
+  from placed p left join turns t on t.c = p.c and t.i = p.i and p.edit <> 'I' where p.edit <> 'D'),
+headed as (
+  select *, bool_or(e = 1 and edit = 'K' and left(role, 1) = 's') over (partition by c) as headed from left_rows),
+repaired as (
+  select c, string_agg(coalesce(role, case when (e - headed::int) % 2 = 1 then 'user' else 'assistant' end) || ':' || text,
+                       chr(10) order by j) as text
+  from headed group by c),
+counted as (
+  select c, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank,
+         count(*) filter (copied) as duplicate, count(*) filter (cut) as truncated,
+         count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from turns group by c)
+select k.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost,
+       coalesce(audit, '') as audit, sha256(coalesce(r.text, '')) as repaired_sha256
+from (select distinct c, conv_id from keyed) k
+left join counted using (c) left join chosen using (c) left join repaired r using (c)
+"""
