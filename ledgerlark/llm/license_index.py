@@ -96,9 +96,10 @@ def word_frequencies(words: DataFrame, templates: Sequence[Template]) -> DataFra
     """(word, df, idf) of the templates' words that occur; ``words``: a row per document with an array ``words``."""
     vocabulary = sorted({w for t in templates for w in t.words})
     documents = words.select(F.explode(F.array_append(F.array_intersect("words", _strings(vocabulary)), F.lit(""))).alias("word"))
-    counts = documents.groupBy("word").agg(F.count("*").alias("df"))  # '' counts the documents themselves
-    total = counts.where("word = ''").select(F.col("df").alias("n"))
-    return (counts.where("word <> ''").join(F.broadcast(total))
+    counts = documents.groupBy("word").agg(F.count("*").alias("df"))
+    one = counts.agg(F.max(F.when(F.col("word") == "", F.col("df"))).alias("n"),  # a row per template word at most
+                     F.collect_list(F.struct("word", "df")).alias("counts"))
+    return (one.select("n", F.inline("counts")).where("word <> ''")
             .select("word", "df", F.ln(F.col("n") / F.col("df")).alias("idf")))
 
 
