@@ -5,13 +5,12 @@ with a digit count as ``<*>``) to a leaf.  Within a leaf, a word that stands at
 fewer than ``min_docs`` different texts is a variable field, ``<*>``; what stays is the line's template.
 
 A template recurs if at least ``MIN_CONSTANT`` of its words are constant and texts of at least ``min_docs``
-families have it.  A text of which more than ``MOST`` (in characters) stands in lines that other texts have too is a
-copy; copies that share their lines are one family, any other text is a family of its own.  So the lines of
-copied documents do not count as boilerplate and are left to document-level dedup, and copies neither make nor
-hide a template.  A text that is mostly boilerplate counts as a copy.
-
-``by="contexts"`` is the rule of op6's SQL: at least ``min_docs`` texts, and at least ``MIN_CONTEXTS`` as many
-(line before, line after) pairs as texts.  It keeps lines whose neighbours are always the same (blank lines, a fixed block).
+families have it, wherever it stands: between blank lines, inside a fixed block, on pages that it mostly fills.  A line
+resembles another if their first or their last ``ENDS`` words are equal.  A text with ``COPIED`` percent or more of its characters
+in lines that resemble lines of other texts is a copy; copies that share most of these line ends are one family, any
+other text is a family of its own.  So the lines of copied and slightly edited documents do not count as
+boilerplate and are left to document-level dedup, and copies neither make nor hide a template.  A page whose own lines
+are under 20 percent of it counts as a copy of the others of its kind.
 
 Only leaves that lines of ``min_docs`` texts reach are generalised, so words are exploded for the few
 lines that may recur.  Every count is a sum of pre-aggregated distinct rows: a line that a third of
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import keep_table
 
-DEPTH, MIN_DOCS, MIN_CONSTANT, MIN_CONTEXTS, MOST = 3, 8, 0.5, 0.5, 0.5
+DEPTH, MIN_DOCS, MIN_CONSTANT, ENDS, COPIED = 3, 8, 0.5, 6, 80
 _SPACE = " \t\x0b\f\r"
 
 
@@ -34,14 +33,10 @@ def _masked(word: Column) -> Column:
 
 
 def _numbered_lines(docs: DataFrame) -> DataFrame:
-    """(key, text_key, line_no, line, context) of every line that is not blank."""
+    """(key, text_key, line_no, line) of every line that is not blank."""
     lines = docs.where("text is not null").select(
-        "key", F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines"))
-    cells = F.transform("lines", lambda x, i: F.struct(
-        i.alias("line_no"), x.alias("line"),
-        F.xxhash64(F.get("lines", i - 1), F.lit("|"), F.get("lines", i + 1)).alias("context")))
-    return (lines.select("key", "text_key", F.explode(cells).alias("c")).select("key", "text_key", "c.*")
-            .withColumn("line", F.trim("line", F.lit(_SPACE))).where("line <> ''"))
+        "key", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.withColumn("line", F.trim("line", F.lit(_SPACE))).where("line <> ''")
 
 
 def _leaf(line: Column) -> Column:
@@ -55,40 +50,44 @@ def _with_key(docs: DataFrame) -> DataFrame:
             .withColumn("key", F.xxhash64("doc_id", "text")))
 
 
-def _recurring_by_context(placed: DataFrame, min_docs: int) -> DataFrame:
-    texts = (placed.select("template_key", "text_key").distinct().groupBy("template_key").agg(F.count("*").alias("texts"))
-             .where(F.col("texts") >= min_docs))
-    contexts = (placed.select("template_key", "context").distinct().groupBy("template_key")
-                .agg(F.count("*").alias("contexts")))
-    return (texts.join(contexts, "template_key")
-            .where(F.col("contexts") >= MIN_CONTEXTS * F.col("texts")).select("template_key"))
+def _ends(line: Column) -> Column:
+    """Hashes (60 bits of MD5, which SQL has, too) of the first and the last ``ENDS`` words."""
+    words = F.split(line, r"[\x20\x09-\x0D]+")
+    ends = (F.concat(F.lit("<"), F.array_join(F.slice(words, 1, ENDS), " ")),
+            F.concat(F.lit(">"), F.array_join(F.slice(words, F.greatest(F.size(words) - (ENDS - 1), F.lit(1)), ENDS), " ")))
+    return F.array(*[F.conv(F.substring(F.md5(e), 1, 15), 16, 10).cast("long") for e in ends])
 
 
 def _families(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(text_key, family) of the copies among ``texts(text_key)``.
 
-    A copy starts in the family of its least shared line, so a family has few starts, however many copies; then a line
-    gets the start that most of its copies have, and a copy the one that most of its characters have."""
-    lines = keep_table(_numbered_lines(docs).join(texts, "text_key")
-                       .groupBy("text_key", F.xxhash64("line").alias("line_key"))
-                       .agg(F.min(F.length("line")).alias("chars")), "text_lines")
-    shared = lines.groupBy("line_key").agg(F.count("*").alias("n")).where("n > 1").select("line_key", F.lit(True).alias("shared"))
-    marked = keep_table(lines.join(shared, "line_key", "left"), "shared_lines")
-    copies = (marked.groupBy("text_key")
-              .agg(F.sum("chars").alias("all"), F.sum(F.when(F.col("shared"), F.col("chars"))).alias("common"),
-                   F.min(F.when(F.col("shared"), F.col("line_key"))).alias("start"))
-              .where(F.col("common") > MOST * F.col("all")).select("text_key", "start"))
-    held = keep_table(marked.where("shared").select("text_key", "line_key", "chars").join(copies, "text_key"), "copied_lines")
-    named = (held.groupBy("line_key", "start").agg(F.count("*").alias("n")).groupBy("line_key")
+    A copy starts in the family of its least shared line end, so a family has few starts, however many copies; then an
+    end gets the start that most of its copies have, and a copy the one that most of its characters have."""
+    lines = (_numbered_lines(docs).groupBy("text_key", F.xxhash64("line").alias("line_key")).agg(F.first("line").alias("line"))
+             .join(texts, "text_key"))
+    ends = keep_table(lines.select("text_key", "line_key", F.length("line").alias("chars"), F.explode(_ends(F.col("line"))).alias("end")),
+                      "line_ends")
+    shared = (ends.select("text_key", "end").distinct().groupBy("end").agg(F.count("*").alias("n"))
+              .where("n > 1").select("end", F.lit(True).alias("shared")))
+    marked = keep_table(ends.join(shared, "end", "left"), "shared_ends")
+    copies = (marked.groupBy("text_key", "line_key")
+              .agg(F.first("chars").alias("chars"), F.min(F.when(F.col("shared"), F.col("end"))).alias("end"))
+              .groupBy("text_key")
+              .agg(F.sum("chars").alias("all"), F.sum(F.when(F.col("end").isNotNull(), F.col("chars"))).alias("common"),
+                   F.min("end").alias("start"))
+              .where(100 * F.col("common") >= COPIED * F.col("all")).select("text_key", "start"))
+    held = keep_table(marked.where("shared").groupBy("text_key", "end").agg(F.sum("chars").alias("chars"))
+                      .join(copies, "text_key"), "copied_ends")
+    named = (held.groupBy("end", "start").agg(F.count("*").alias("n")).groupBy("end")
              .agg(F.max_by("start", F.struct("n", "start")).alias("name"), F.max("n").alias("most"), F.sum("n").alias("n"))
-             .where("2 * most > n").select("line_key", "name"))
-    return (held.join(named, "line_key", "left").groupBy("text_key", "start", "name").agg(F.sum("chars").alias("chars"))
+             .where("2 * most > n").select("end", "name"))
+    return (held.join(named, "end", "left").groupBy("text_key", "start", "name").agg(F.sum("chars").alias("chars"))
             .groupBy("text_key", "start")
             .agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.struct("chars", "name"))).alias("name"))
             .select("text_key", F.coalesce("name", "start").alias("family")))
 
 
-def _recurring_by_family(docs: DataFrame, placed: DataFrame, min_docs: int) -> DataFrame:
+def _recurring(docs: DataFrame, placed: DataFrame, min_docs: int) -> DataFrame:
     holders = placed.select("template_key", "text_key").distinct()
     often = holders.groupBy("template_key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template_key")
     holders = keep_table(holders.join(often, "template_key"), "holders")
@@ -99,10 +98,8 @@ def _recurring_by_family(docs: DataFrame, placed: DataFrame, min_docs: int) -> D
             .where(F.col("n") >= min_docs).select("template_key"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, by: str = "families") -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(key, line_no, template) of every line whose template recurs; ``docs`` has key and text."""
-    if by not in ("families", "contexts"):
-        raise ValueError(f"by: {by}")
     lines = _numbered_lines(docs).withColumn("leaf", _leaf(F.col("line")))
     leaves = keep_table(lines.select("leaf", "text_key").distinct().groupBy("leaf").agg(F.count("*").alias("n"))
                         .where(F.col("n") >= min_docs).select("leaf"), "leaves")
@@ -123,22 +120,22 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, by: str = "famili
         .where(F.col("constants") >= MIN_CONSTANT * F.size("cells"))
         .select("leaf", "line_key", F.array_join(F.col("cells.word"), " ").alias("template")), "templates")
     placed = keep_table(hits.join(templates, ["leaf", "line_key"])
-                        .select("key", "text_key", "line_no", "context", "template",
+                        .select("key", "text_key", "line_no", "template",
                                 F.xxhash64("template").alias("template_key")), "placed")
-    recurring = keep_table(_recurring_by_family(docs, placed, min_docs) if by == "families"
-                           else _recurring_by_context(placed, min_docs), "recurring")
+    recurring = keep_table(_recurring(docs, placed, min_docs), "recurring")
     return placed.join(recurring, "template_key").select("key", "line_no", "template")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, by: str = "families") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """One row per row of ``docs``: (doc_id, text, n_lines, n_dropped) without the lines of recurring templates.
 
     Lines end at ``\\n``; blank lines stay.  A null text stays null with no lines, an empty text is one blank
     line.  Equal rows get equal results; rows count as different texts only if their texts differ.
-    Only ``doc_id`` and ``text`` are read; an empty table gives an empty result.
+    Lines of very long texts are rows like all others.  Only ``doc_id`` and ``text`` are read; an empty table gives an
+    empty result.
     """
     keyed = _with_key(docs)
-    drop = recurring_lines(keyed, min_docs, by).groupBy("key").agg(F.collect_set("line_no").alias("drop"))
+    drop = recurring_lines(keyed, min_docs).groupBy("key").agg(F.collect_set("line_no").alias("drop"))
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
     return (keyed.join(drop, "key", "left")

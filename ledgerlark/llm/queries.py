@@ -122,16 +122,15 @@ from running
 
 @_query
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of ``documents`` left after the removal of templates that recur across documents, by the rule of the SQL."""
-    return (drop_recurring_lines(_table(spark, sf_dir, "documents"), by="contexts")
+    """Lines of ``documents`` left after the removal of templates that recur across documents."""
+    return (drop_recurring_lines(_table(spark, sf_dir, "documents"))
             .select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")))
 
 
 ORACLES["op6_line_templates"] = r"""
 with docs as (select row_number() over () as r, doc_id, text, string_split(text, chr(10)) as parts from documents),
 cut as (
-  select r, text, i, trim(parts[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as line,
-         coalesce(parts[i - 1], '') || chr(10) || coalesce(parts[i + 1], '') || chr(10) || (i = 1) || (i = len(parts)) as context
+  select r, text, i, trim(parts[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as line
   from (select *, unnest(range(1, len(parts) + 1)) as i from docs)),
 lines as (
   select *, regexp_split_to_array(line, '[\x20\x09-\x0D]+') as w from cut where line <> ''),
@@ -150,10 +149,36 @@ templates as (
   select c.leaf, c.line, string_agg(coalesce(k.word, '<*>'), ' ' order by c.pos) as template
   from cells c left join const k on c.leaf = k.leaf and c.pos = k.pos and c.word = k.word
   group by c.leaf, c.line having count(k.word) >= 0.5 * count(*)),
-placed as (select h.r, h.text, h.i, h.context, t.template from hits h join templates t on h.leaf = t.leaf and h.line = t.line),
+placed as (select h.r, h.text, h.i, t.template from hits h join templates t on h.leaf = t.leaf and h.line = t.line),
+holders as (
+  select distinct template, text from placed
+  where template in (select template from placed group by template having count(distinct text) >= 8)),
+own_lines as (
+  select distinct text, line, len(line) as chars, w from lines where text in (select text from holders)),
+ends as (
+  select text, line, chars, ('0x' || md5(unnest(['<' || array_to_string(w[1:6], ' '),
+                                                 '>' || array_to_string(w[greatest(len(w) - 5, 1):], ' ')]))[1:15])::bigint as e
+  from own_lines),
+shared as (select e from ends group by e having count(distinct text) > 1),
+marked as (select text, line, chars, e, e in (select e from shared) as is_shared from ends),
+copies as (
+  select text, min(e) as start
+  from (select text, line, any_value(chars) as chars, min(e) filter (is_shared) as e from marked group by text, line)
+  group by text having 100 * sum(chars) filter (e is not null) >= 80 * sum(chars)),
+held as (
+  select text, e, c.start, sum(chars) as chars from marked m join copies c using (text) where is_shared group by text, e, c.start),
+starts as (select e, start, count(*) as n from held group by e, start),
+named as (
+  select e, start as name
+  from (select *, row_number() over (partition by e order by n desc, start desc) as k, sum(n) over (partition by e) as total
+        from starts) where k = 1 and 2 * n > total),
+votes as (select text, h.start, name, sum(chars) as chars from held h left join named using (e) group by text, h.start, name),
+families as (
+  select text, coalesce(name, start) as family
+  from (select *, row_number() over (partition by text order by name is null, chars desc, name desc) as k from votes) where k = 1),
 recurring as (
-  select template from placed group by template
-  having count(distinct text) >= 8 and count(distinct context) >= 0.5 * count(distinct text)),
+  select template from holders h left join families f on h.text = f.text
+  group by template having count(distinct coalesce('family ' || f.family, 'text ' || h.text)) >= 8),
 gone as (select distinct r, i from placed where template in (select template from recurring)),
 kept as (
   select d.r, string_agg(d.part, chr(10) order by d.i) as kept

@@ -18,7 +18,7 @@ def _rows(columns, records):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF_SMALL}/{t}.parquet')")
     got = QUERIES[name](spark, SF_SMALL)
     want = con.execute(ORACLES[name])
@@ -27,8 +27,8 @@ def test_query_matches_sql(spark, name):
     assert _rows(got.columns, got.collect()) == _rows(columns, want.fetchall())
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):
@@ -52,3 +52,10 @@ def test_pipeline(spark):
     assert len(tokens) == seen["source_mix"][1].count()
     assert all(r["decoded_sha256"] == hashlib.sha256(mixed[r["doc_id"]].encode()).hexdigest() for r in tokens)
     assert all(len(r["ids"]) == r["n_tokens"] > 0 for r in tokens)
+
+
+def test_language_stage_without_labels(spark):
+    docs = spark.createDataFrame([(1, "ein Text", None), (2, None, None), (3, "12 34!", None), (4, "é", None), (5, "", None)],
+                                 "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_id(spark, docs, SF_SMALL)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 4}
