@@ -27,7 +27,12 @@ ORACLE_SQL: str | None = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no letters, null text) go; all others stay."""
+    """Documents in which no language can be told (no letters, null text) go; all others stay.
+
+    Without a labelled document no language is learned; then every text with a letter stays.
+    """
+    if docs.where("lang is not null").isEmpty():
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return (identify_languages(docs, pred="__lang", score="__score")
             .where(F.col("__lang") != UNKNOWN).select(*docs.columns))
 
