@@ -50,12 +50,12 @@ def _with_key(docs: DataFrame) -> DataFrame:
             .withColumn("key", F.xxhash64("doc_id", "text")))
 
 
-def _ends(line: Column) -> Column:
+def _ends(line: Column) -> tuple[Column, ...]:
     """Hashes (60 bits of MD5, which SQL has, too) of the first and the last ``ENDS`` words."""
     words = F.split(line, r"[\x20\x09-\x0D]+")
     ends = (F.concat(F.lit("<"), F.array_join(F.slice(words, 1, ENDS), " ")),
             F.concat(F.lit(">"), F.array_join(F.slice(words, F.greatest(F.size(words) - (ENDS - 1), F.lit(1)), ENDS), " ")))
-    return F.array(*[F.conv(F.substring(F.md5(e), 1, 15), 16, 10).cast("long") for e in ends])
+    return tuple(F.conv(F.substring(F.md5(e), 1, 15), 16, 10).cast("long") for e in ends)
 
 
 def _families(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -63,20 +63,20 @@ def _families(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
     A copy starts in the family of its least shared line end, so a family has few starts, however many copies; then an
     end gets the start that most of its copies have, and a copy the one that most of its characters have."""
-    lines = (_numbered_lines(docs).groupBy("text_key", F.xxhash64("line").alias("line_key")).agg(F.first("line").alias("line"))
-             .join(texts, "text_key"))
-    ends = keep_table(lines.select("text_key", "line_key", F.length("line").alias("chars"), F.explode(_ends(F.col("line"))).alias("end")),
-                      "line_ends")
-    shared = (ends.select("text_key", "end").distinct().groupBy("end").agg(F.count("*").alias("n"))
-              .where("n > 1").select("end", F.lit(True).alias("shared")))
-    marked = keep_table(ends.join(shared, "end", "left"), "shared_ends")
-    copies = (marked.groupBy("text_key", "line_key")
-              .agg(F.first("chars").alias("chars"), F.min(F.when(F.col("shared"), F.col("end"))).alias("end"))
-              .groupBy("text_key")
-              .agg(F.sum("chars").alias("all"), F.sum(F.when(F.col("end").isNotNull(), F.col("chars"))).alias("common"),
-                   F.min("end").alias("start"))
+    first, last = _ends(F.col("line"))
+    lines = (_numbered_lines(docs).select("text_key", F.xxhash64("line").alias("line_key"), F.length("line").alias("chars"),
+                                          first.alias("first"), last.alias("last"))
+             .groupBy("text_key", "line_key").agg(*[F.min(c).alias(c) for c in ("chars", "first", "last")]))
+    lines = keep_table(lines.join(texts, "text_key"), "line_ends")
+    ends = lines.select("text_key", "line_key", "chars", F.explode(F.array("first", "last")).alias("end"))
+    shared = (ends.groupBy("end").agg(F.min("text_key").alias("least"), F.max("text_key").alias("most"))
+              .where("least <> most").select("end"))
+    marked = keep_table(ends.join(shared, "end"), "shared_ends")
+    common = (marked.groupBy("text_key", "line_key").agg(F.min("chars").alias("chars"), F.min("end").alias("end"))
+              .groupBy("text_key").agg(F.sum("chars").alias("common"), F.min("end").alias("start")))
+    copies = (lines.groupBy("text_key").agg(F.sum("chars").alias("all")).join(common, "text_key")
               .where(100 * F.col("common") >= COPIED * F.col("all")).select("text_key", "start"))
-    held = keep_table(marked.where("shared").groupBy("text_key", "end").agg(F.sum("chars").alias("chars"))
+    held = keep_table(marked.groupBy("text_key", "end").agg(F.sum("chars").alias("chars"))
                       .join(copies, "text_key"), "copied_ends")
     named = (held.groupBy("end", "start").agg(F.count("*").alias("n")).groupBy("end")
              .agg(F.max_by("start", F.struct("n", "start")).alias("name"), F.max("n").alias("most"), F.sum("n").alias("n"))
