@@ -11,17 +11,19 @@ with probability over 0.9999.
 Candidates are settled without enumerating a key's pairs: first every document against the smallest
 of its key (a star); after these links are verified and joined into components, only pairs of
 *different* components that share a key remain.  They are compared block by block: a pair is passed on if
-its signatures lie within the distance, its sets can be similar at all, and its long signatures agree.
-For the second each document that shares a key knows how many of its shingles another such document
-has; two documents share no more than the lesser of these numbers.  Long signatures (``LONG_SYMBOLS``) are
-made for these documents only; at the similarity asked for, one pair in a million differs more.  So copies
-that were each edited by themselves, a family whose members stay below the threshold, are compared inside
-the cells and not handed on pair by pair.  Verification is exact: intersection and union of the full
-shingle sets.  Documents with equal shingle sets are one class with one representative.
+its signatures lie within the distance and its sets can be similar at all.  Two upper bounds of the
+intersection tell that, and no pair that is similar enough fails them.  Each document that shares a key knows
+how many of its shingles another such document has; two documents share no more than the lesser of these
+numbers.  And each has a histogram of its shingles over hash bins; two documents share in a bin no more than
+the lesser of its counts.  With about a bin a shingle the second bound is sharp, so copies that were each
+edited by themselves, a family whose members stay below the threshold, are compared inside the cells and not
+handed on pair by pair.  Verification is exact: intersection and union of the full shingle sets.  Documents
+whose whole sorted shingle sets have the same SHA-256 are one class with one representative.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +38,12 @@ from .words import mix, whole_hash, window_hashes, word_slices
 SYMBOLS, BITS = 64, 16
 CHUNKS, ERRORS = 14, 1
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
-LONG_SYMBOLS, LONG_SIGMAS = 512, 4.75
+LEAST_BINS, MOST_BINS = 64, 4096  # fewer bins make the bound weaker, never wrong
 BLOCK = 512
 
 _RNG = np.random.default_rng(20)
-_MUL = _RNG.integers(0, 1 << 63, SYMBOLS + LONG_SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, SYMBOLS + LONG_SYMBOLS, np.uint64)
+_MUL = _RNG.integers(0, 1 << 63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, SYMBOLS, np.uint64)
 _EDGES = [SYMBOLS * c // CHUNKS for c in range(CHUNKS + 1)]
 # (chunk, symbols that must agree) for every chunk and every choice of one position left out
 _KEYS = [(c, [p for p in range(_EDGES[c], _EDGES[c + 1]) if p != out])
@@ -63,21 +65,31 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _minima(shingles: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    least = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """b-bit minhash symbols of a non-empty shingle set."""
+    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[lo:lo + 1024, None] * mul + add).min(0), out=least)
-    return mix(least)
+        np.minimum(least, (shingles[lo:lo + 1024, None] * _MUL + _ADD).min(0), out=least)
+    return mix(least).astype(np.uint16)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """b-bit minhash symbols of a non-empty shingle set."""
-    return _minima(shingles, _MUL[:SYMBOLS], _ADD[:SYMBOLS]).astype(np.uint16)
+def histogram(shingles: np.ndarray) -> np.ndarray:
+    """Shingles per hash bin; the number of bins is the power of two at or below the set's size, within limits.
+
+    A count fits 16 bits unless a text has over 2**28 distinct shingles.
+    """
+    bins = min(max(1 << (len(shingles).bit_length() - 1), LEAST_BINS), MOST_BINS)
+    return np.bincount((mix(shingles) & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint16)
 
 
-def long_signature(shingles: np.ndarray) -> np.ndarray:
-    """More minhash symbols, of one byte each, by other hash functions."""
-    return _minima(shingles, _MUL[SYMBOLS:], _ADD[SYMBOLS:]).astype(np.uint8)
+def most_shared(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Upper bound of the intersection of one histogram's set with each of ``others``' (rows of one width).
+
+    Bins are the low bits of a hash, so the halves of the wider histogram add up to the narrower one's bins."""
+    bins = min(len(one), others.shape[1])
+    one = one.reshape(-1, bins).sum(0, dtype=np.uint32) if len(one) > bins else one
+    others = others.reshape(len(others), -1, bins).sum(1, dtype=np.uint32) if others.shape[1] > bins else others
+    return np.minimum(others, one).sum(1, dtype=np.int64)
 
 
 def signature_keys(symbols: np.ndarray) -> np.ndarray:
@@ -106,10 +118,10 @@ def _sketch(width: int):
             sizes, sets, signs = [], [], []
             for shingles in shingle_sets(batch.column(1), width):
                 sizes.append(len(shingles))
-                sets.append(int(mix(shingles).sum(dtype=np.uint64).astype(np.int64)) if len(shingles) else None)
+                sets.append(hashlib.sha256(shingles.tobytes()).digest() if len(shingles) else None)
                 signs.append(signature(shingles).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()),
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()),
                  pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_key", "signature"])
     return run
 
@@ -142,10 +154,10 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 [pa.array(np.concatenate(sets)), pa.array(np.repeat(ids, [len(s) for s in sets]))], ["shingle", "id"])
 
 
-def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        signs = [long_signature(np.frombuffer(s.as_buffer(), np.uint64)).tobytes() for s in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs, pa.binary())], ["id", "long"])
+        bins = [histogram(np.frombuffer(s.as_buffer(), np.uint64)).tobytes() for s in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins, pa.binary())], ["id", "bins"])
 
 
 def _linked(percent: int):
@@ -190,9 +202,6 @@ def _near_in_cells(percent: int):
 
     ``side`` tells the rows of the cell (0) from its columns (1); a cell of the diagonal has side 2 only.
     A pair that shares several keys is passed on by the first of them alone."""
-    similar = percent / 100
-    far = LONG_SYMBOLS * (1 - similar) + LONG_SIGMAS * (LONG_SYMBOLS * similar * (1 - similar)) ** 0.5
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
@@ -200,7 +209,14 @@ def _near_in_cells(percent: int):
             side, ids, comp, size, common = (cell.column(i).to_numpy() for i in range(3, 8))
             symbols = np.frombuffer(b"".join(cell.column(8).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
             choice = int(np.uint64(cell.column(0)[0].as_py() % (1 << 64)) & _CHOICE)
-            more = np.frombuffer(b"".join(cell.column(9).to_pylist()), np.uint8).reshape(-1, LONG_SYMBOLS)
+            counts = [np.frombuffer(b, np.uint16) for b in cell.column(9).to_pylist()]
+            width = np.array([len(c) for c in counts])
+            own = np.zeros(len(width), np.int64)  # row within the histograms of its width
+            wide = {}
+            for w in np.unique(width).tolist():
+                rows = np.flatnonzero(width == w)
+                own[rows] = np.arange(len(rows))
+                wide[w] = np.stack([counts[k] for k in rows])
             for i in np.flatnonzero(side != 1).tolist():
                 lo = i + 1 if side[i] == 2 else int(np.searchsorted(side, 1))
                 most = np.minimum(common[lo:], common[i])  # of the intersection
@@ -210,7 +226,12 @@ def _near_in_cells(percent: int):
                     differs = symbols[at] != symbols[i]
                     at = at[(differs.sum(1) <= MAX_DISTANCE) & _first_shared(differs, choice)]
                 if len(at):
-                    at = at[(more[at] != more[i]).sum(1) <= far]
+                    most = np.empty(len(at), np.int64)
+                    for w, rows in wide.items():
+                        of = np.flatnonzero(width[at] == w)
+                        if len(of):
+                            most[of] = most_shared(counts[i], rows[own[at[of]]])
+                    at = at[100 * most >= percent * (size[at] + size[i] - most)]
                 if len(at):
                     found.append((np.minimum(ids[at], ids[i]), np.maximum(ids[at], ids[i])))
                     n += len(at)
@@ -275,9 +296,9 @@ def _cross_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent:
     private = (sets.mapInArrow(_shingle_rows, "shingle long, id long").groupBy("shingle")
                .agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
                .groupBy("id").agg(F.count("*").alias("private")))
-    known = sets.mapInArrow(_long_signatures, "id long, long binary")
+    known = sets.mapInArrow(_histograms, "id long, bins binary")
     reps = keep_table(reps.join(known, "id").join(private, "id", "left").select(
-        "id", "n_shingles", (F.col("n_shingles") - F.coalesce("private", F.lit(0))).alias("common"), "signature", "long"),
+        "id", "n_shingles", (F.col("n_shingles") - F.coalesce("private", F.lit(0))).alias("common"), "signature", "bins"),
         "reps")
     cells = (members.join(reps, "id")
              .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -287,7 +308,7 @@ def _cross_links(members: DataFrame, reps: DataFrame, sets: DataFrame, percent:
                            "side": F.when(F.col("own") == F.col("other"), 2)
                            .otherwise((F.col("own") > F.col("other")).cast("int"))}))
     pairs = (cells.select("key", "r", "c", "side", "id", "component", "n_shingles", "common", "signature",
-                          "long")
+                          "bins")
              .repartition("key", "r", "c").sortWithinPartitions("key", "r", "c", "side")
              .mapInArrow(_near_in_cells(percent), "a long, b long"))
     return _verified(keep_table(pairs, "pairs"), sets, percent)
@@ -307,7 +328,7 @@ def minhash_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         raise ValueError("the signature distance is set for a similarity of 0.8 or more")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = keep_table(texts.mapInArrow(
-        _sketch(width), "doc_id long, n_shingles long, set_key long, signature binary"), "sketch")
+        _sketch(width), "doc_id long, n_shingles long, set_key binary, signature binary"), "sketch")
     usable = sketch.where("doc_id is not null and set_key is not null")
     classes = keep_table(usable.groupBy("set_key").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"),

@@ -108,6 +108,41 @@ def test_pigeonhole_guarantee():
     assert (a == b).any(axis=1).all()
 
 
+def test_histogram_bound_never_drops_a_link():
+    rng = np.random.default_rng(8)
+    for n in (1, 3, 60, 64, 100, 300, 511, 513, 5000, 20000):
+        for gone in (0, n // 20, n // 10, n // 9, n // 5, n // 2):
+            x = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, gone // 2, np.uint64)]))
+            if not len(y):
+                continue
+            both = len(np.intersect1d(x, y))
+            a, b = minhash_dedup.histogram(x), minhash_dedup.histogram(y)
+            bound = minhash_dedup.most_shared(a, np.stack([b, b]))
+            assert (bound >= both).all() and (bound == minhash_dedup.most_shared(b, a[None])[0]).all()
+            assert int(a.sum()) == len(x)
+
+
+def test_family_below_the_threshold_beside_links(spark):
+    """More members than a block, all pairs below the threshold but for some; long and short sets mix."""
+    rng = random.Random(4)
+    base = prose(rng, 120, 10**6).split(" ")
+    texts = {}
+    for i in range(600):
+        own = list(base)
+        for at in rng.sample(range(0, 120, 5), 5):
+            own[at] = f"edit{rng.randrange(10**9)}"
+        texts[i] = " ".join(own + ["tail"] * (i % 3))
+    texts[700] = texts[5] + " one more"
+    texts[701] = texts[599].upper()
+    sets = {i: shingles(t, 5) for i, t in texts.items()}
+    links = [(a, b) for a, b in combinations(texts, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert 2 <= len(links)
+    want = components(texts, links)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.minhash_components(frame(spark, texts), 5, 80).collect()}
+    assert got == want
+
+
 def plain_substring(texts, width):
     places = Counter(tuple(w[i:i + width]) for w in map(words, texts) for i in range(len(w) - width + 1))
     out = []
