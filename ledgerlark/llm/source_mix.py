@@ -6,10 +6,10 @@ document) first.  The rest is a weighted sample without replacement: document d
 key ``-ln(u_d) / quality_d`` with u_d uniform from a hash of its id and text, keys ascend within the source,
 and documents are taken while the running word count is nearest to the budget.
 
-The running count is not a window over a source, which may hold a third of all rows.  Keys fall into
-buckets of some ``BUCKET_ROWS`` documents by their distribution function.  Word counts per bucket are
-summed first; they settle every bucket but the one where the budget runs out, and only that bucket's
-documents stand in a window.
+The running count is not a window over a source, which may hold a third of all rows.  Documents are
+range-partitioned by (source, key), so a bucket is what one task of that exchange holds of a source, of even
+size whatever the weights.  Word counts per bucket are summed first; they settle every bucket but the
+one where the budget runs out, and only that bucket's documents stand in a window.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ..session import keep_table
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 4000
 
 
 def uniform(*columns: Column) -> Column:
@@ -81,20 +80,17 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
         sized = sized.withColumn("q", F.lit(1.0))
     sized = keep_table(sized.withColumn("q", F.when(F.col("q") > 0, F.col("q")).otherwise(1.0))
                        .withColumn("key", -F.log("u") / F.col("q")), "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"),
-                                         F.min("q").alias("least_q"))
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = keep_table(
-        source_targets(totals.select("source", "source_size", "n_docs"), weights, max_epochs)
-        .join(totals.select(F.col("source").alias("__source"), "least_q"), F.expr("source <=> __source"))
+        source_targets(totals, weights, max_epochs)
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                     .otherwise(0).cast("long"))
-        .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-        .withColumn("buckets", F.ceil(F.col("n_docs") / BUCKET_ROWS).cast("long")).drop("__source"), "sources")
-    # 1 - exp(-key * least weight) rises with the key and stays in [0, 1): buckets in key order, in which no
-    # document is more frequent than its weight over the least one
-    placed = (sized.join(sources.withColumnRenamed("source", "__source"), F.expr("source <=> __source")).drop("__source")
-              .withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * F.col("least_q"))) * F.col("buckets"))
-                          .cast("long")))
+        .withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "sources")
+    # every column of the order takes part, so that rows of equal keys are told apart as in the window below
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keep_table(sized.repartitionByRange(n, "source", "key", "doc_id", "row_key")
+                        .withColumn("bucket", F.spark_partition_id()), "ranges")
+    placed = ranged.join(sources.withColumnRenamed("source", "__source"), F.expr("source <=> __source")).drop("__source")
     counted = placed.where("size > 0").groupBy("source", "bucket").agg(
         F.sum("size").alias("in_bucket"), F.first("budget").alias("__budget"))
     before = F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")

@@ -308,6 +308,22 @@ def test_mix_prefers_quality_and_handles_nothing(spark):
     good = sum(r["copies"] for r in got if r["doc_id"] % 2)
     assert good > 1.2 * sum(r["copies"] for r in got if not r["doc_id"] % 2)
     assert source_mix.mix_sources(docs.limit(0)).count() == 0
+
+
+def test_mix_buckets_stay_even_under_extreme_weights(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "s" if i < 4000 else "t") for i in range(4400)],
+                                 "doc_id long, text string, source string")
+    weight = spark.createDataFrame([(7, 1e-6), (8, 1e6)], "doc_id long, weight double")
+    plain = source_mix.mix_sources(docs, weight, weights=(1, 1)).collect()
+    assert {r["doc_id"]: r["copies"] for r in plain}[8] >= 1
+    taken = sum(r["taken"] for r in plain if r["source"] == "s")
+    assert abs(taken - [r["target"] for r in plain if r["source"] == "s"][0]) <= 4
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")  # other buckets, same rows
+    try:
+        assert sorted(map(repr, source_mix.mix_sources(docs, weight, weights=(1, 1)).collect())) == sorted(map(repr, plain))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     blank = source_mix.mix_sources(spark.createDataFrame([(1, None, None), (2, " ", "s")],
                                                          "doc_id long, text string, source string")).collect()
     assert all((r["size"], r["taken"], r["target"]) == (0, 0, 0.0) for r in blank)
