@@ -1,4 +1,5 @@
 """E1 + E2 end to end: messy CSV -> profile -> mapping -> clean -> KPIs."""
+import json
 import os
 import tempfile
 
@@ -37,3 +38,38 @@ def test_csv_to_kpis(spark):
     from ledgerlark.sources.sinks import write_report
     write_report(res.report_json(), out)
     assert any(f.startswith("part-") for f in os.listdir(out))
+
+
+def _scans(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation ")
+
+
+def test_report_in_two_passes(spark):
+    d = tempfile.mkdtemp(prefix="ll-report-", dir="/tmp")
+    rows = []
+    for i in range(4000):
+        day = ["%02d.%02d.2024" % (i % 28 + 1, i % 12 + 1), "13.14.2024", "03.25.2024", None, "n/a", "Ocak 2024"][
+            0 if i % 7 else min(i // 7 % 40, 5)]
+        rows.append((day, f"Item {i % 50}" if i % 11 else "-", str(i % 9 - 2) if i % 13 else "x", "2,50",
+                     str((i % 9 - 2) * 2.5) if i % 5 else ("n/a" if i % 3 else "99"), "0.1" if i % 4 else None))
+    src = spark.createDataFrame(rows, "date string, product_name string, quantity string, unit_price string, "
+                                      "revenue string, discount string").repartition(6)
+    src.write.parquet(d + "/raw")
+    raw = spark.read.parquet(d + "/raw")
+    for given, columns in ((None, raw.columns), ("month_day", raw.columns[:-1])):
+        res = clean.clean_sales(raw.select(*columns), date_order=given)
+        frame = res.report_json()
+        assert _scans(frame) == 1  # and one for the sums
+        got = json.loads(frame.first()["report"])
+        plain = lambda df: [{k: v for k, v in r.asDict(True).items() if v is not None} for r in df.collect()]
+        assert got["columns"] == sorted(plain(res.column_report()), key=lambda r: r["position"])
+        assert got["revenue_mismatch"] == plain(res.revenue_mismatch())
+        assert got["date_format_detection"] == plain(res.date_order)[0]
+        key = lambda r: (r["kind"], r["column_name"], r["rank"])
+        assert sorted(got["examples"], key=key) == sorted(plain(res.examples()), key=key)
+        assert got["date_issues"] == plain(res.date_issues())
+        types = {r["column_name"]: r for r in plain(res.column_types())}
+        assert {r["column_name"]: r for r in got["types"]} == types
+    empty = json.loads(clean.clean_sales(raw.limit(0)).report_json().first()["report"])
+    assert empty["examples"] == [] and empty["date_issues"] == [] and empty["columns"][0]["total_rows"] == 0
