@@ -1,5 +1,6 @@
 """Plan shapes: passes over the raw rows, no row copies per column, no caches left behind."""
 from ledgerlark.plans import REGISTRY
+from ledgerlark.sources.tables import sales
 
 from .conftest import SF_SMALL
 
@@ -49,3 +50,17 @@ def test_untyped_table_analyses_like_a_typed_one(spark):
     assert analysis.kpi_summary(text).first() == analysis.kpi_summary(df).first()
     assert analysis.top_revenue_products(text, "1994-01-01", "1995-01-01").collect() == \
         analysis.top_revenue_products(df, "1994-01-01", "1995-01-01").collect()
+
+
+def test_part_joins_after_orders(spark):
+    """The texts of ``part`` are shuffled with ``part`` alone, not once more with every line; dates travel as days."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = sales(spark, SF_SMALL, with_orders=True, with_customer=True)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "p_partkey" in joins[0] and "o_orderkey" in joins[-1] and len(joins) == 4
+    below = plan[plan.index(joins[0]):].splitlines()[1:]
+    assert any("as date" in line for line in below) and not any("p_name" in line for line in below if "Join" in line)
