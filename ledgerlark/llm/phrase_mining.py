@@ -6,15 +6,17 @@ the block's own phrases, pieces never cross blocks, so the merge-join of a posit
 inside a row.  Each length is made by the same three steps:
 
 1. merge-join: phrases at adjacent positions of a piece give the phrases of k + 1 words, counted within the block;
-2. group-count: the blocks' counts are summed by (phrase id, phrase id) over all blocks in one shuffle;
-3. semi-join: the phrases with enough occurrences go back to their blocks, and only their occurrences are kept as
-   R(k + 1), a table under ``spark.checkpoint.dir``, before the next length is begun.
+2. group-count: the blocks' counts are summed by (phrase id, phrase id) over all blocks in one shuffle.  Phrases are
+   dealt to buckets by a hash of their key; a block sends a bucket one row with all its counts, packed;
+3. semi-join: the buckets tell each block, again in one packed row, which phrases have enough occurrences, and only
+   their occurrences are kept as R(k + 1), a table under ``spark.checkpoint.dir``, before the next length is begun.
 
-A phrase is keyed by the place of its first block, so keys are two numbers whatever the length and nothing is
-hashed; the counts of a phrase's heads and tails travel with it, so scoring needs no join.  All counts are exact; the
-score is worked out in unbounded integers.
+A phrase's id is its rank in its bucket, so keys are two small numbers whatever the length; the hash only deals, phrases
+are told apart by their keys.  The counts of a phrase's heads and tails travel with it, so scoring needs no join.  All
+counts are exact; the score is worked out in unbounded integers.
 
-Scale: a word or phrase that is everywhere is one row per block before any shuffle.  A task holds a block at a time.
+Scale: a word or phrase that is everywhere is one entry per block before any shuffle.  A task holds a block or a bucket
+at a time; the buckets grow in number with the blocks, so a bucket holds the counts of a few blocks' text.
 The best phrases of a language are cut per task before they meet.
 
 Defined results: a null text is empty, a null language ``und``; empty texts and pieces have no words; texts of any length
@@ -24,6 +26,7 @@ empty table gives no rows; columns beside ``lang`` and ``text`` are not looked a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +41,14 @@ from ..session import drop_table, keep_table, released_shuffles
 BLOCK_BYTES = 12 << 20
 SLICE_BYTES = 1 << 20
 BLOCKS_A_TASK = 1 << 10
+BLOCKS_A_BUCKET = 2
 UNKNOWN = "und"
 
 _END = b"."  # stands for every end of a piece
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 _RELATION = "block long, relation binary"
-_COUNTED = "place long, left long, right long, n long"
+_COUNTED = "bucket long, block long, counts binary"
+_FREQUENT = "block long, bucket long, groups binary"
 _ROWS = 1 << 16
 #: A block row is compressed already and some MB long: no second compression, no dictionary, a page for each row.
 _LARGE_VALUES = {"compression": "uncompressed", "parquet.enable.dictionary": "false",
@@ -53,13 +58,35 @@ _LARGE_VALUES = {"compression": "uncompressed", "parquet.enable.dictionary": "fa
 # ---- a block's relation --------------------------------------------------------------------------
 
 
+def _narrow(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """Longs that fit are kept as ints."""
+    if column.type != pa.int64() or not len(column):
+        return column
+    ends = pc.min_max(column).as_py()
+    return column.cast(pa.int32()) if -1 << 31 <= ends["min"] and ends["max"] < 1 << 31 else column
+
+
 def _ipc(table: pa.Table) -> bytes:
+    table = pa.table([_narrow(c) for c in table.columns], table.column_names)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Longs of one length as one value, lowest bytes first: high bytes that are zero take no room."""
+    longs = np.stack(columns).astype("<i8")
+    planes = np.ascontiguousarray(longs.view(np.uint8).reshape(-1, 8).T)
+    return longs.shape[1].to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unsqueeze(value: bytes, columns: int) -> np.ndarray:
+    n = int.from_bytes(value[:8], "little")
+    planes = np.frombuffer(pa.decompress(value[8:], 8 * columns * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(columns, n)
+
+
 def _pack(codes: np.ndarray, groups: pa.Table) -> bytes:
     """One value for a block: the phrase number at every position (-1: none), and the numbered phrases."""
     head = _ipc(pa.table({"code": pa.array(codes.astype(np.int32))}))
@@ -159,19 +186,97 @@ def _adjacent(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, codes[at].astype(np.int64) * width + codes[at + 1]
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, (_, groups) in _relations(batches):
-        place = (block << 32) + np.arange(len(groups), dtype=np.int64)
-        yield from _sliced(pa.table({"place": pa.array(place), **{c: groups[c] for c in ("lang", "phrase", "n")}}))
+def _word_keys(codes: np.ndarray, groups: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the block's words, hashes that deal them to buckets)."""
+    hashes = np.fromiter(map(zlib.crc32, groups["phrase"].cast(pa.binary()).to_pylist()), np.int64, len(groups))
+    return np.arange(len(groups)), hashes
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, (codes, groups) in _relations(batches):
-        ids, width = _numbers(groups, "id"), max(len(groups), 1)
-        pairs, counts = np.unique(_adjacent(codes, width)[1], return_counts=True)
-        place = (block << 32) + np.arange(len(pairs), dtype=np.int64)
-        yield from _sliced(pa.table({"place": place, "left": ids[pairs // width], "right": ids[pairs % width],
-                                     "n": counts.astype(np.int64)}))
+def _pair_keys(codes: np.ndarray, groups: pa.Table, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of the block's distinct pairs, hashes that deal them to buckets)."""
+    width = max(len(groups), 1)
+    pairs = np.unique(_adjacent(codes, width)[1]) if keys is None else keys
+    left, right = (_numbers(groups, "id")[part].astype(np.uint64) for part in (pairs // width, pairs % width))
+    mixed = (left * np.uint64(0x9E3779B97F4A7C15) + right) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return pairs, (mixed >> np.uint64(33)).astype(np.int64)
+
+
+def _members(hashes: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """Per bucket the places of its keys, in their order."""
+    bucket = hashes % buckets
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
+
+
+def _sent(block: int, members: list[np.ndarray], packed) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket that has keys of the block."""
+    own = [b for b, places in enumerate(members) if len(places)]
+    yield pa.record_batch({"bucket": pa.array(own, pa.int64()), "block": pa.array([block] * len(own), pa.int64()),
+                           "counts": pa.array([packed(members[b]) for b in own], pa.binary())})
+
+
+def _word_counts(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, (codes, groups) in _relations(batches):
+            words = groups.select(["lang", "phrase", "n"])
+            yield from _sent(block, _members(_word_keys(codes, groups)[1], buckets), lambda at: _ipc(words.take(pa.array(at))))
+
+    return run
+
+
+def _pair_counts(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, (codes, groups) in _relations(batches):
+            ids, width = _numbers(groups, "id"), max(len(groups), 1)
+            pairs, counts = np.unique(_adjacent(codes, width)[1], return_counts=True)
+            left, right = ids[pairs // width], ids[pairs % width]
+            yield from _sent(block, _members(_pair_keys(codes, groups, pairs)[1], buckets),
+                             lambda at: _squeeze(left[at], right[at], counts[at]))
+
+    return run
+
+
+def _read_words(values: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    tables = [pa.ipc.open_stream(v).read_all() for v in values]
+    both = pa.concat_tables([t.set_column(2, "n", t["n"].cast(pa.int64())) for t in tables]).combine_chunks()
+    lang, phrase = (both[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "phrase"))
+    return [len(t) for t in tables], lang, phrase, _numbers(both, "n")
+
+
+def _read_pairs(values: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    parts = [_unsqueeze(v, 3) for v in values]
+    return [p.shape[1] for p in parts], *np.concatenate(parts, axis=1)
+
+
+def _group_count(read, min_count: int, buckets: int, owners_only: bool):
+    """A bucket's counts -> for each block its frequent phrases: steps between their places, ids, totals, ownership."""
+
+    def run(counted: pa.Table) -> pa.Table:
+        counted = counted.sort_by("block")
+        bucket, blocks = counted["bucket"][0].as_py(), counted["block"].to_pylist()
+        sizes, left, right, n = read(counted["counts"].to_pylist())
+        order = np.lexsort((right, left))  # equal keys stay in the order of their blocks
+        left, right = left[order], right[order]
+        first = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
+        totals = np.add.reduceat(n[order], np.flatnonzero(first))
+        frequent = totals >= min_count
+        ids = (np.cumsum(frequent) - 1) * buckets + bucket
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(first) - 1
+        owner = np.empty(len(order), bool)
+        owner[order] = first
+        out = {"block": [], "bucket": [], "groups": []}
+        for block, lo, size in zip(blocks, np.cumsum([0, *sizes[:-1]]), sizes):
+            mine, owned = group[lo:lo + size], owner[lo:lo + size]
+            at = np.flatnonzero(frequent[mine] & owned if owners_only else frequent[mine])
+            if len(at):
+                out["block"].append(block)
+                out["bucket"].append(bucket)
+                out["groups"].append(_squeeze(np.diff(at, prepend=0), ids[mine[at]], totals[mine[at]], owned[at]))
+        return pa.table({"block": pa.array(out["block"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int64()),
+                         "groups": pa.array(out["groups"], pa.binary())})
+
+    return run
 
 
 def _relations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np.ndarray, pa.Table]]]:
@@ -181,6 +286,12 @@ def _relations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[n
             pa.default_memory_pool().release_unused()
 
 
+def _words_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, (_, groups) in _relations(batches):
+        summed = groups.group_by("lang").aggregate([("n", "sum")])
+        yield from _sliced(pa.table({"lang": summed["lang"], "n": summed["n_sum"].cast(pa.int64())}))
+
+
 def _sliced(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.combine_chunks().to_batches(max_chunksize=_ROWS)
 
@@ -192,11 +303,10 @@ def _frequent_words(codes: np.ndarray, groups: pa.Table, gid: np.ndarray) -> tup
     return number[codes], pa.table({"phrase": kept["phrase"], "last": kept["phrase"], "lang": kept["lang"]})
 
 
-def _frequent_pairs(codes: np.ndarray, groups: pa.Table, gid: np.ndarray) -> tuple[np.ndarray, pa.Table]:
-    """Occurrences of the pairs numbered ``gid``, with the parts' ids and the counts of all heads and tails."""
+def _frequent_pairs(codes: np.ndarray, groups: pa.Table, pairs: np.ndarray) -> tuple[np.ndarray, pa.Table]:
+    """Occurrences of the ``pairs`` (ascending), with the parts' ids and the counts of all heads and tails."""
     width = max(len(groups), 1)
     at, keys = _adjacent(codes, width)
-    pairs = np.unique(keys)[gid]
     left, right = pa.array(pairs // width), pa.array(pairs % width)
     a, b = groups.take(left), groups.take(right)
     size = 1 + sum(c.startswith("head") for c in groups.column_names)  # words of the joined phrases
@@ -212,36 +322,35 @@ def _frequent_pairs(codes: np.ndarray, groups: pa.Table, gid: np.ndarray) -> tup
     return out, pa.table(columns | {f"head{size}": a["total"], f"tail{size}": b["total"]})
 
 
-def _semi_join(step, last: bool):
-    """Stream of (block row, then its frequent groups) -> block rows of the next relation."""
+def _semi_join(keys_of, step, buckets: int, last: bool):
+    """Stream of (block row, then the buckets' rows for it) -> block rows of the next relation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found = None, []
 
         def row():
             block, codes, groups = held
-            rows = pa.Table.from_batches(found) if found else None
-            places = _numbers(rows, "place") if rows else np.zeros(0, np.int64)
+            keys, hashes = keys_of(codes, groups)
+            members = _members(hashes, buckets)
+            told = [(members[bucket], _unsqueeze(value, 4)) for bucket, value in found]
+            places = np.concatenate([np.zeros(0, np.int64), *(own[np.cumsum(t[0])] for own, t in told)])
+            ids, totals, owner = np.concatenate([np.zeros((3, 0), np.int64), *(t[1:] for _, t in told)], axis=1)
             order = np.argsort(places)
-            codes, kept = step(codes, groups, places[order] & 0xFFFFFFFF)
-            for name in ("id", "total"):
-                kept = kept.append_column(name, pa.array(_numbers(rows, name)[order] if rows else [], pa.int64()))
-            kept = kept.append_column("owner", pa.array(_numbers(kept, "id") == places[order], pa.bool_()))
+            codes, kept = step(codes, groups, keys[places[order]])
+            for name, values in (("id", ids), ("total", totals), ("owner", owner.astype(bool))):
+                kept = kept.append_column(name, pa.array(values[order]))
             packed = _pack(codes[:0] if last else codes, kept)
             pa.default_memory_pool().release_unused()
             return pa.record_batch({"block": pa.array([block], pa.int64()), "relation": pa.array([packed], pa.binary())})
 
         for batch in batches:
-            relations, groups = batch.column(1), batch.select(["place", "id", "total"])
-            heads = np.flatnonzero(pc.is_valid(relations).to_numpy(zero_copy_only=False))
-            edges = [*heads.tolist(), len(batch)]
-            if held is not None and edges[0]:
-                found.append(groups.slice(0, edges[0]))
-            for lo, hi in zip(edges, edges[1:]):
-                if held is not None:
-                    yield row()
-                held = (batch.column(0)[lo].as_py(), *_unpack(relations[lo]))
-                found = [groups.slice(lo + 1, hi - lo - 1)] if hi > lo + 1 else []
+            for block, relation, bucket, groups in zip(*batch.columns):
+                if relation.is_valid:
+                    if held is not None:
+                        yield row()
+                    held, found = (block.as_py(), *_unpack(relation)), []
+                else:
+                    found.append((bucket.as_py(), groups.as_py()))
         if held is not None:
             yield row()
 
@@ -257,20 +366,17 @@ def word_relation(docs: DataFrame) -> DataFrame:
     return keep_table(texts.mapInArrow(_word_blocks, _RELATION), "setm-words", **_LARGE_VALUES)
 
 
-def _frequent(counted: DataFrame, key: list[str], min_count: int) -> DataFrame:
-    """(block, place, id, total) of every block's groups that are frequent in all blocks together."""
-    group = Window.partitionBy(*key)
-    return (counted.withColumn("total", F.sum("n").over(group)).withColumn("id", F.min("place").over(group))
-            .where(F.col("total") >= min_count)
-            .select(F.shiftright("place", 32).alias("block"), "place", "id", "total"))
+def _frequent(counted: DataFrame, read, min_count: int, buckets: int, owners_only: bool) -> DataFrame:
+    """For every block and bucket, the block's phrases that are frequent in all blocks together."""
+    return counted.groupBy("bucket").applyInArrow(_group_count(read, min_count, buckets, owners_only), _FREQUENT)
 
 
-def _kept_occurrences(relation: DataFrame, frequent: DataFrame, step, name: str, last: bool) -> DataFrame:
-    none = F.lit(None).cast("long")
-    rows = relation.select("block", "relation", none.alias("place"), none.alias("id"), none.alias("total")).unionByName(
-        frequent.select("block", F.lit(None).cast("binary").alias("relation"), "place", "id", "total"))
-    stream = rows.repartition("block").sortWithinPartitions("block", F.col("place").asc_nulls_first())
-    return keep_table(stream.mapInArrow(_semi_join(step, last), _RELATION), name, **_LARGE_VALUES)
+def _kept_occurrences(relation: DataFrame, frequent: DataFrame, join, name: str) -> DataFrame:
+    rows = relation.select("block", "relation", F.lit(None).cast("long").alias("bucket"),
+                           F.lit(None).cast("binary").alias("groups")).unionByName(
+        frequent.select("block", F.lit(None).cast("binary").alias("relation"), "bucket", "groups"))
+    stream = rows.repartition("block").sortWithinPartitions("block", F.col("bucket").asc_nulls_first())
+    return keep_table(stream.mapInArrow(join, _RELATION), name, **_LARGE_VALUES)
 
 
 _CANDIDATE = ("id long, left long, right long, lang string, phrase string, words int, a long, l long, r long, score long")
@@ -291,27 +397,30 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [(h[i], t[i]) for h, t in zip(heads, tails)]
             score, at = min((1_000_000 * a * a // (x * y), k) for k, (x, y) in enumerate(parts))
             cuts.append((*parts[at], score))
-        left, right, score = (pa.array(c, pa.int64()) for c in zip(*cuts))
-        yield from _sliced(pa.table([own["id"], own["left"], own["right"], own["lang"], own["phrase"],
-                                     pa.array([size] * len(own), pa.int32()), own["total"], left, right, score], names))
+        l, r, score = (pa.array(c, pa.int64()) for c in zip(*cuts))
+        ids, left, right, total = (own[c].cast(pa.int64()) for c in ("id", "left", "right", "total"))
+        yield from _sliced(pa.table([ids, left, right, own["lang"], own["phrase"], pa.array([size] * len(own), pa.int32()),
+                                     total, l, r, score], names))
 
 
 def phrase_candidates(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> tuple[DataFrame, DataFrame]:
     """(candidates of 2 to ``max_words`` words with their counts and score, word occurrences ``n`` by lang)."""
     with released_shuffles(docs.sparkSession):  # only tables go from step to step
         before = word_relation(docs)
-        words = before.mapInArrow(_word_counts, "place long, lang string, phrase string, n long")
-        totals = keep_table(words.groupBy("lang").agg(F.sum("n").alias("n")), "setm-totals")
-        relation = _kept_occurrences(before, _frequent(words, ["lang", "phrase"], min_count), _frequent_words,
-                                     "setm-1", False)
+        totals = keep_table(before.mapInArrow(_words_by_lang, "lang string, n long").groupBy("lang").agg(
+            F.sum("n").alias("n")), "setm-totals")
+        buckets = max(before.count() // BLOCKS_A_BUCKET, 1)
+        words = before.mapInArrow(_word_counts(buckets), _COUNTED)
+        relation = _kept_occurrences(before, _frequent(words, _read_words, min_count, buckets, False),
+                                     _semi_join(_word_keys, _frequent_words, buckets, False), "setm-1")
         found = None
         for size in range(2, max_words + 1):
             drop_table(before)
-            before, pairs = relation, relation.mapInArrow(_pair_counts, _COUNTED)
-            frequent = _frequent(pairs, ["left", "right"], min_count)
-            if size == max_words:  # nothing is extended any more: the blocks that own the phrases are enough
-                frequent = frequent.where("place = id")
-            relation = _kept_occurrences(before, frequent, _frequent_pairs, f"setm-{size}", size == max_words)
+            before, last = relation, size == max_words
+            pairs = before.mapInArrow(_pair_counts(buckets), _COUNTED)
+            # the last ones are not extended: the blocks that own the phrases are enough
+            relation = _kept_occurrences(before, _frequent(pairs, _read_pairs, min_count, buckets, last),
+                                         _semi_join(_pair_keys, _frequent_pairs, buckets, last), f"setm-{size}")
             scored = keep_table(relation.mapInArrow(_scored, _CANDIDATE), f"setm-candidates-{size}")
             found = scored if found is None else found.unionByName(scored)
         drop_table(before)
