@@ -89,15 +89,15 @@ def _unsqueeze(value: bytes, columns: int) -> np.ndarray:
 
 def _pack(codes: np.ndarray, groups: pa.Table) -> bytes:
     """One value for a block: the phrase number at every position (-1: none), and the numbered phrases."""
-    head = _ipc(pa.table({"code": pa.array(codes.astype(np.int32))}))
+    head = _squeeze(codes.astype(np.int64) + 1) if len(codes) else b""
     return len(head).to_bytes(8, "little") + head + _ipc(groups)
 
 
 def _unpack(value: pa.Scalar) -> tuple[np.ndarray, pa.Table]:
     data = value.as_buffer()
     cut = 8 + int.from_bytes(data.slice(0, 8).to_pybytes(), "little")
-    codes = pa.ipc.open_stream(data.slice(8, cut - 8)).read_all()["code"].combine_chunks()
-    return codes.to_numpy(zero_copy_only=False), pa.ipc.open_stream(data.slice(cut)).read_all().combine_chunks()
+    codes = _unsqueeze(data.slice(8, cut - 8).to_pybytes(), 1)[0] - 1 if cut > 8 else np.zeros(0, np.int64)
+    return codes.astype(np.int32), pa.ipc.open_stream(data.slice(cut)).read_all().combine_chunks()
 
 
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
@@ -300,7 +300,7 @@ def _frequent_words(codes: np.ndarray, groups: pa.Table, gid: np.ndarray) -> tup
     kept = groups.take(pa.array(gid))
     number = np.full(len(groups) + 1, -1, np.int32)  # the code -1 picks the last entry
     number[gid] = np.arange(len(gid), dtype=np.int32)
-    return number[codes], pa.table({"phrase": kept["phrase"], "last": kept["phrase"], "lang": kept["lang"]})
+    return number[codes], pa.table({"phrase": kept["phrase"], "lang": kept["lang"]})
 
 
 def _frequent_pairs(codes: np.ndarray, groups: pa.Table, pairs: np.ndarray) -> tuple[np.ndarray, pa.Table]:
@@ -310,8 +310,9 @@ def _frequent_pairs(codes: np.ndarray, groups: pa.Table, pairs: np.ndarray) -> t
     left, right = pa.array(pairs // width), pa.array(pairs % width)
     a, b = groups.take(left), groups.take(right)
     size = 1 + sum(c.startswith("head") for c in groups.column_names)  # words of the joined phrases
-    columns = {"phrase": pc.binary_join_element_wise(a["phrase"], b["last"], " "), "last": b["last"], "lang": a["lang"],
-               "left": a["id"], "right": b["id"]}
+    end = pc.replace_substring_regex(b["phrase"], r"(?s)^.* ", "")  # the last word
+    columns = {"phrase": pc.binary_join_element_wise(a["phrase"], end, " "), "lang": a["lang"], "left": a["id"],
+               "right": b["id"]}
     for k in range(1, size):
         columns |= {f"head{k}": a[f"head{k}"], f"tail{k}": b[f"tail{k}"]}
     out = np.full(len(codes), -1, np.int32)
@@ -339,6 +340,9 @@ def _semi_join(keys_of, step, buckets: int, last: bool):
             codes, kept = step(codes, groups, keys[places[order]])
             for name, values in (("id", ids), ("total", totals), ("owner", owner.astype(bool))):
                 kept = kept.append_column(name, pa.array(values[order]))
+            for name in {"left", "right"} & {*kept.column_names}:  # read in the owning block only
+                at = kept.column_names.index(name)
+                kept = kept.set_column(at, name, pc.if_else(kept["owner"], kept[name], pa.scalar(0, kept[name].type)))
             packed = _pack(codes[:0] if last else codes, kept)
             pa.default_memory_pool().release_unused()
             return pa.record_batch({"block": pa.array([block], pa.int64()), "relation": pa.array([packed], pa.binary())})
@@ -372,11 +376,14 @@ def _frequent(counted: DataFrame, read, min_count: int, buckets: int, owners_onl
 
 
 def _kept_occurrences(relation: DataFrame, frequent: DataFrame, join, name: str) -> DataFrame:
+    frequent = keep_table(frequent, f"{name}-frequent", **_LARGE_VALUES)  # the counts' shuffle goes before the next begins
     rows = relation.select("block", "relation", F.lit(None).cast("long").alias("bucket"),
                            F.lit(None).cast("binary").alias("groups")).unionByName(
         frequent.select("block", F.lit(None).cast("binary").alias("relation"), "bucket", "groups"))
     stream = rows.repartition("block").sortWithinPartitions("block", F.col("bucket").asc_nulls_first())
-    return keep_table(stream.mapInArrow(join, _RELATION), name, **_LARGE_VALUES)
+    kept = keep_table(stream.mapInArrow(join, _RELATION), name, **_LARGE_VALUES)
+    drop_table(frequent)
+    return kept
 
 
 _CANDIDATE = ("id long, left long, right long, lang string, phrase string, words int, a long, l long, r long, score long")

@@ -106,3 +106,29 @@ def test_query(spark):
     rows = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     got = sorted(tuple(r[f] for f in FIELDS) for r in op13_phrase_collocations(spark, SF_SMALL).collect())
     assert got == plain_mine(rows, 3, 10, 50, 2000) and got
+
+
+def test_counts_travel_packed():
+    """A block sends a bucket one row with all its counts; the bucket's answer is one row for each block."""
+    rng = pm.np.random.default_rng(3)
+    codes, size, buckets = rng.integers(0, 3000, 60_000).astype(pm.np.int32), 3000, 4
+    groups = pm.pa.table({"id": pm.np.arange(size) + 10 ** 6})
+    blocks = pm.pa.record_batch({"block": pm.pa.array([5, 6]), "relation": pm.pa.array([pm._pack(codes, groups)] * 2, pm.pa.binary())})
+    sent = pm.pa.Table.from_batches(list(pm._pair_counts(buckets)(iter([blocks]))))
+    want = Counter(zip((codes[:-1] + 10 ** 6).tolist(), (codes[1:] + 10 ** 6).tolist()))
+    assert len(sent) == 2 * buckets
+    assert sum(map(len, sent["counts"].to_pylist())) < 10 * 2 * len(want)
+    got, keys = Counter(), pm._pair_keys(*pm._unpack(blocks["relation"][0]))
+    members = pm._members(keys[1], buckets)
+    for bucket in range(buckets):
+        mine = sent.filter(pm.pc.equal(sent["bucket"], bucket))
+        _, left, right, n = pm._read_pairs(mine["counts"].to_pylist()[:1])
+        got.update(dict(zip(zip(left.tolist(), right.tolist()), n.tolist())))
+        told = pm._group_count(pm._read_pairs, 4, buckets, False)(mine).to_pylist()
+        assert [r["block"] for r in told] == [5, 6]
+        (at, ids, totals, first), (*_, second) = (pm._unsqueeze(r["groups"], 4) for r in told)
+        assert first.all() and not second.any() and (ids % buckets == bucket).all() and len(set(ids)) == len(ids)
+        for key, total in zip(keys[0][members[bucket][pm.np.cumsum(at)]].tolist(), totals.tolist()):
+            assert total == 2 * want[key // size + 10 ** 6, key % size + 10 ** 6] >= 4
+        assert len(at) == sum(2 * c >= 4 for c in n.tolist())
+    assert got == want
