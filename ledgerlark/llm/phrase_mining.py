@@ -67,7 +67,7 @@ def _narrow(column: pa.ChunkedArray) -> pa.ChunkedArray:
 
 
 def _ipc(table: pa.Table) -> bytes:
-    table = pa.table([_narrow(c) for c in table.columns], table.column_names)
+    table = pa.table([_narrow(c) for c in table.columns], table.column_names, metadata=table.schema.metadata)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
@@ -83,21 +83,28 @@ def _squeeze(*columns: np.ndarray) -> bytes:
 
 def _unsqueeze(value: bytes, columns: int) -> np.ndarray:
     n = int.from_bytes(value[:8], "little")
+    if not n:
+        return np.zeros((columns, 0), np.int64)
     planes = np.frombuffer(pa.decompress(value[8:], 8 * columns * n, "zstd", asbytes=True), np.uint8)
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(columns, n)
 
 
 def _pack(codes: np.ndarray, groups: pa.Table) -> bytes:
     """One value for a block: the phrase number at every position (-1: none), and the numbered phrases."""
-    head = _squeeze(codes.astype(np.int64) + 1) if len(codes) else b""
-    return len(head).to_bytes(8, "little") + head + _ipc(groups)
+    longs = [c for c in groups.column_names if groups.schema.field(c).type == pa.int64()]
+    rest = groups.drop_columns(longs).replace_schema_metadata({"longs": " ".join(longs)})
+    parts = [_squeeze(codes.astype(np.int64) + 1), _squeeze(*(_numbers(groups, c) for c in longs)), _ipc(rest)]
+    return b"".join(len(p).to_bytes(8, "little") for p in parts[:2]) + b"".join(parts)
 
 
 def _unpack(value: pa.Scalar) -> tuple[np.ndarray, pa.Table]:
     data = value.as_buffer()
-    cut = 8 + int.from_bytes(data.slice(0, 8).to_pybytes(), "little")
-    codes = _unsqueeze(data.slice(8, cut - 8).to_pybytes(), 1)[0] - 1 if cut > 8 else np.zeros(0, np.int64)
-    return codes.astype(np.int32), pa.ipc.open_stream(data.slice(cut)).read_all().combine_chunks()
+    a, b = (int.from_bytes(data.slice(at, 8).to_pybytes(), "little") for at in (0, 8))
+    codes = _unsqueeze(data.slice(16, a).to_pybytes(), 1)[0] - 1
+    rest = pa.ipc.open_stream(data.slice(16 + a + b)).read_all().combine_chunks()
+    longs = rest.schema.metadata[b"longs"].decode().split()
+    numbers = _unsqueeze(data.slice(16 + a, b).to_pybytes(), len(longs))
+    return codes.astype(np.int32), pa.table({c: rest[c] for c in rest.column_names} | dict(zip(longs, map(pa.array, numbers))))
 
 
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
