@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PLACEHOLDER_VALUES
+from .text import bind
 
 # Month names (Turkish and English, full and short) -> month number.
 # Fixed values.
@@ -62,14 +63,14 @@ def with_date_tokens(df: DataFrame, text_col: str, prefix: str = "_dt") -> DataF
 def staged_parse_date(text_col: str, order: Column, prefix: str = "_dt") -> Column:
     """C12 + C13 over the staged token columns of :func:`with_date_tokens`."""
     p = prefix
-    t1, t3 = F.col(f"{p}_t1"), F.col(f"{p}_t3")
+    t3, year_first = F.col(f"{p}_t3"), F.col(f"{p}_yl")  # without a third token nothing is read
     n1, n3 = F.col(f"{p}_n1"), F.col(f"{p}_n3")
     left, right, has = F.col(f"{p}_left"), F.col(f"{p}_right"), F.col(f"{p}_has")
-    year = _normalize_year(F.when((F.length(t1) == 4) | (n1 > 31), n1).otherwise(n3))
+    year = _normalize_year(F.when(year_first, n1).otherwise(n3))
     day = F.when(order == "day_month", left).otherwise(right)
     month = F.when(order == "day_month", right).otherwise(left)
     conflict = F.when(order == "day_month", right > 12).otherwise(left > 12)
-    year_shape = (F.length(t3) <= 2) | (F.length(t3) == 4) | (n3 > 31) | (F.length(t1) == 4) | (n1 > 31)
+    year_shape = (F.length(t3) <= 2) | (F.length(t3) == 4) | (n3 > 31) | year_first
     ok = order.isNotNull() & t3.isNotNull() & ~conflict & year_shape
     numeric = F.when(ok, _safe_date(year, month, day))
     text_date = F.when(~F.col(f"{p}_ph"), parse_text_date(F.col(text_col), order))
@@ -81,10 +82,13 @@ def _normalize_year(y: Column) -> Column:
 
 
 def _safe_date(year: Column, month: Column, day: Column) -> Column:
-    """Calendar-checked date; NULL for Feb 30 etc. and outside 1678..2261."""
+    """Calendar-checked date; NULL for Feb 30 etc. and outside 1678..2261.
+
+    Counted from the first of the month (no text is formatted and parsed): a day the month lacks falls into the next.
+    """
     ok = (year.between(1678, 2261) & month.between(1, 12) & day.between(1, 31))
-    txt = F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int"))
-    return F.when(ok, F.try_to_date(txt, "yyyy-MM-dd"))
+    date = F.date_add(F.make_date(year.cast("int"), month.cast("int"), F.lit(1)), day.cast("int") - 1)
+    return F.when(ok, F.when(F.month(date) == month.cast("int"), date))
 
 
 def _month_map() -> Column:
@@ -112,9 +116,13 @@ def parse_text_date(text: Column, order: Column) -> Column:
     gap = "[\\s\\-/.,]+"
     norm = F.regexp_replace(F.lower(text), "^\\s*(\\d{4})" + gap + "(\\p{L}+)\\.?\\s*$", "$2 $1")
     shape = "^\\s*(\\p{L}+)" + gap + "(\\d{4})\\s*$"
-    month = _month_number(F.regexp_extract(norm, shape, 1))
-    year = F.nullif(F.regexp_extract(norm, shape, 2), F.lit("")).try_cast("int")
-    return F.when(order.isNotNull(), _safe_date(year, month, F.lit(1)))
+
+    def first_of_month(norm: Column) -> Column:
+        month = _month_number(F.regexp_extract(norm, shape, 1))
+        year = F.nullif(F.regexp_extract(norm, shape, 2), F.lit("")).try_cast("int")
+        return bind(year, lambda y: bind(month, lambda m: _safe_date(y, m, F.lit(1))))
+
+    return F.when(order.isNotNull(), bind(norm, first_of_month))
 
 
 def is_date_like(text: Column, numeric_value: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CURRENCY_MARKERS
-from .text import clean_text, null_placeholders, strip_ws
+from .text import bind, clean_text, null_placeholders, strip_ws
 
 # Shape accepted by Python's float() once only [0-9.-] are left.
 _FLOAT_SHAPE = "^-?([0-9]+\\.?[0-9]*|\\.[0-9]+)$"
@@ -35,13 +35,17 @@ def round6(c: Column) -> Column:
     return round_even(c, 6)
 
 
+def _without(t: Column, mark: str) -> Column:
+    return F.replace(t, F.lit(mark), F.lit(""))
+
+
 def _shaped_double(t: Column) -> Column:
     """Cast text made of ``[0-9.-]`` only when it has float shape (one dot at
     most, a minus only in front, a digit): a failed cast costs an exception
     per value inside the JVM.  Byte-level checks, no regex."""
-    dots = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
+    dots = F.length(t) - F.length(_without(t, "."))
     minus_inside = F.instr(F.substring(t, 2, 1 << 30), "-") > 0
-    has_digit = F.length(F.translate(t, ".-", "")) > 0
+    has_digit = F.length(_without(_without(t, "."), "-")) > 0
     return F.when((dots <= 1) & ~minus_inside & has_digit, t.try_cast("double"))
 
 
@@ -52,7 +56,7 @@ def _decimal_mark(t: Column) -> Column:
     dot.  Otherwise commas are grouping marks and are dropped.
     """
     comma_last = (F.instr(t, ",") > 0) & (F.instr(F.substring_index(t, ",", -1), ".") == 0)
-    return F.when(comma_last, F.translate(t, ",.", ".")).otherwise(F.translate(t, ",", ""))
+    return F.when(comma_last, F.replace(_without(t, "."), F.lit(","), F.lit("."))).otherwise(_without(t, ","))
 
 
 def parse_number_strict(c: Column) -> Column:
@@ -93,8 +97,9 @@ def normalize_numeric_text(c: Column) -> Column:
 def numeric_kept_text(cleaned: Column) -> Column:
     """C4 text step on already cleaned, placeholder-free text: keep only
     ``[0-9,.-]``.  (Removing the currency words first changes nothing: every
-    letter is dropped here anyway.)"""
-    return F.regexp_replace(cleaned, "[^0-9,.\\-]", "")
+    letter is dropped here anyway.)  The digits are spelled out: a range in a
+    regex class costs one more test per letter."""
+    return F.regexp_replace(cleaned, "[^0123456789,.\\-]+", "")
 
 
 def lenient_from_kept(kept: Column) -> Column:
@@ -123,11 +128,13 @@ def parse_number_fallback(c: Column) -> Column:
 
 
 def fallback_from_clean(cleaned: Column) -> Column:
-    """C5 on already cleaned, placeholder-free text."""
+    """C5 on already cleaned, placeholder-free text; token and candidate are bound, not repeated (few rows come here)."""
+    def candidate(token: Column) -> Column:
+        grouped = token.rlike("^-?[0-9]{1,3}([.][0-9]{3})+$|^-?[0-9]{1,3}([,][0-9]{3})+$")
+        return F.when(grouped, _without(_without(token, "."), ",")).otherwise(_decimal_mark(token))
+
     token = F.regexp_extract(cleaned, "((?<![0-9])-)?([0-9][0-9.,]*[0-9]|[0-9])", 0)
-    grouped = token.rlike("^-?[0-9]{1,3}([.][0-9]{3})+$|^-?[0-9]{1,3}([,][0-9]{3})+$")
-    candidate = F.when(grouped, F.translate(token, ".,", "")).otherwise(_decimal_mark(token))
-    return _shaped_double(candidate)
+    return F.when(cleaned.isNotNull(), bind(bind(token, candidate), _shaped_double))
 
 
 def clean_number(c: Column) -> Column:

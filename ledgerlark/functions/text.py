@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -56,7 +57,7 @@ REPAIRS = 4
 def fix_mojibake(c: Column) -> Column:
     """Undo UTF-8 read as Latin-1, windows-1252 or windows-1254 (``Ã§ay`` -> ``çay``, ``ÅŸeker`` -> ``şeker``).
 
-    Only strings that hold a typical marker (cheap byte search) are looked at.  Their letters go back to the bytes
+    Only strings that hold a typical marker (cheap byte search; none is ASCII) are looked at.  Their letters go back to the bytes
     they stand for; a round counts only if every letter is one byte and the bytes are valid UTF-8.  Rounds repeat
     (up to ``REPAIRS``) until nothing changes; text without damage is never touched.
     """
@@ -70,21 +71,39 @@ def fix_mojibake(c: Column) -> Column:
         return F.when(marked(x), F.coalesce(F.decode(F.try_validate_utf8(raw), "UTF-8"), x)).otherwise(x)
 
     rounds = F.array(*[F.lit(i) for i in range(REPAIRS)])
-    return F.when(marked(c), F.aggregate(rounds, c, lambda x, _: once(x))).otherwise(c)
+    return F.when((F.octet_length(c) > F.length(c)) & marked(c), F.aggregate(rounds, c, lambda x, _: once(x))).otherwise(c)
 
 
 _OTHER_WS = WHITESPACE.replace(" ", "")
+# single Latin-1 characters are one table lookup in a regex class; each further one would be one more test per letter
+_LATIN1_WS, _WIDE_WS = ("[" + "".join(f"\\u{ord(ch):04x}" for ch in _OTHER_WS if (ch > "\xff") == wide) + "]"
+                        for wide in (False, True))
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often ``body`` names it.
+
+    For steps that few rows need: a lambda variable keeps the generated code small (the JVM never compiles a
+    method of more than 8,000 bytes), and its projection is split into methods; the body itself is interpreted.
+    """
+    return F.transform(F.array(value), body)[0]
 
 
 def clean_text(c: Column) -> Column:
-    """Mojibake repair, strip, collapse inner whitespace to one space.
+    """Mojibake repair, strip, collapse inner whitespace to one space."""
+    return tidy_text(fix_mojibake(c.cast("string")))
 
-    Every whitespace character becomes a space by ``translate`` (no regex);
-    the collapse regex runs only on strings that hold a double space.
+
+def tidy_text(t: Column) -> Column:
+    """The whitespace steps of C1.
+
+    Whitespace characters become spaces by ``translate``, which makes a string per letter, so it runs only on
+    strings that hold one; the collapse regex runs only on strings that hold a double space.
     """
-    t = F.translate(fix_mojibake(c.cast("string")), _OTHER_WS, " " * len(_OTHER_WS))
+    other = t.rlike(_LATIN1_WS) | ((F.octet_length(t) > F.length(t)) & t.rlike(_WIDE_WS))
+    t = F.when(other, F.translate(t, _OTHER_WS, " " * len(_OTHER_WS))).otherwise(t)
     t = F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t)
-    return F.btrim(t, F.lit(" "))
+    return F.trim(t)
 
 
 def placeholder_key(c: Column) -> Column:
@@ -99,7 +118,11 @@ def is_placeholder(c: Column) -> Column:
 
 def null_placeholders(c: Column) -> Column:
     """Cleaned text, NULL when it is a placeholder."""
-    cleaned = clean_text(c)
+    return unless_placeholder(clean_text(c))
+
+
+def unless_placeholder(cleaned: Column) -> Column:
+    """C2 on already cleaned text."""
     return F.when(~F.lower(cleaned).isin(*PLACEHOLDER_VALUES), cleaned)
 
 

@@ -13,7 +13,7 @@ from ..functions.dates import with_date_tokens
 from ..functions.numbers import parse_number_fallback, parse_number_lenient, with_strict_number
 from ..functions.text import CP1252, LATIN1, SHOWN, clean_product_name, clean_text, fix_mojibake, null_placeholders
 from ..operators.clean import clean_sales, standardize
-from ..sources.tables import DIRTY_MAPPING, dirty_sales
+from ..sources.tables import DIRTY_MAPPING, dirtied, dirty_sales, sales
 from . import sql as Q
 from .catalog import register
 
@@ -275,11 +275,14 @@ def q_date_issues(spark, d):
 
 
 def _numbered(spark, d):
-    """``dirty`` in the order of its truth, numbered by distinct rank per (h, date, product, quantity, revenue)."""
+    """``dirty`` in the order of its truth, numbered by distinct rank per (h, date, product, quantity, revenue).
+
+    Numbered before the texts are made, so that they are neither shuffled nor sorted.
+    """
     from pyspark.sql import Window
-    order = Window.partitionBy("h").orderBy("true_date", "true_product", "true_quantity", "true_revenue")
-    raw = dirty_sales(spark, d).withColumn("n", F.rank().over(order))
-    return raw.withColumn("at", F.col("h") * 1_000_000 + F.col("n")).drop("n")
+    order = Window.partitionBy("h").orderBy("date", "product_name", "quantity", "revenue")
+    s = sales(spark, d).withColumn("n", F.rank().over(order))
+    return dirtied(s, "n").withColumn("at", F.col("h") * 1_000_000 + F.col("n")).drop("n")
 
 
 _NUMBERED = """, numbered as (

@@ -81,7 +81,11 @@ def _pad2(c: Column) -> Column:
 
 def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messy text version of ``sales`` with truth columns (FIXTURES.md §3)."""
-    s = sales(spark, sf_dir)
+    return dirtied(sales(spark, sf_dir))
+
+
+def dirtied(s: DataFrame, *keep: str) -> DataFrame:
+    """``dirty_sales`` of rows of ``sales``; columns named by ``keep`` stay."""
     h, d = F.col("h"), F.col("date")
     date_txt = (
         F.when(h % 4 == 0, F.concat(_pad2(F.day(d)), F.lit("."), _pad2(F.month(d)), F.lit("."), _s(F.year(d))))
@@ -118,4 +122,5 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         price_txt.alias(DIRTY_MAPPING["unit_price"]),
         rev_txt.alias(DIRTY_MAPPING["revenue"]),
         disc_txt.alias(DIRTY_MAPPING["discount"]),
+        *keep,
     )

@@ -1,6 +1,7 @@
 """E1 + E2 end to end: messy CSV -> profile -> mapping -> clean -> KPIs."""
 import json
 import os
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -73,3 +74,45 @@ def test_report_in_two_passes(spark):
         assert {r["column_name"]: r for r in got["types"]} == types
     empty = json.loads(clean.clean_sales(raw.limit(0)).report_json().first()["report"])
     assert empty["examples"] == [] and empty["date_issues"] == [] and empty["columns"][0]["total_rows"] == 0
+
+
+def _largest_method(spark, df):
+    """Bytes of the largest generated method; the JVM never compiles one of more than 8,000."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # its stages are generated only as they run
+    try:
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        code = debug.codegenString(df._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code))
+
+
+def test_examples_in_two_passes_of_compiled_code(spark):
+    d = tempfile.mkdtemp(prefix="ll-examples-", dir="/tmp")
+    day = ["%02d.02.2024", "%02d/2/24", "2024-%02d-02", " %02d - 02 - 2024 "]
+    rows = [(i, day[i % 4] % (i % 31 + 1), f"Item  {i % 7}" if i % 9 else "yok", f"{i % 13 - 1} adet" if i % 5 else "n/a",
+             ["₺2,50", "1.234.567", "-", "x 3"][i % 4], "n/a" if i % 3 == 0 else "5", "%10") for i in range(900)]
+    spark.createDataFrame(rows + rows[:300], "at long, date string, product_name string, quantity string, unit_price string, "
+                          "revenue string, discount string").repartition(5).write.parquet(d + "/raw")
+    res = clean.clean_sales(spark.read.parquet(d + "/raw"), row_id="at")
+    frame = res.examples()
+    assert _scans(frame) == 2
+    assert _largest_method(spark, frame) < 8000
+    assert _largest_method(spark, res.cleaned) < 8000
+    got = {}
+    for r in sorted(frame.collect(), key=lambda r: r["rank"]):
+        got.setdefault((r["kind"], r["column_name"]), []).append((r["row_id"], r["value"]))
+    twice = sorted(rows + rows[:300])
+    prices = {"₺2,50": 2.5, "1.234.567": 1234567.0, "x 3": 3.0}
+
+    def first(n, column, when):
+        return [(r[0], r[column]) for r in twice if when(r)][:n]
+
+    assert got[("failed", "date")] == first(10, 1, lambda r: r[0] % 31 + 1 > 29)  # no such day in this February
+    assert got[("failed", "product_name")] == first(10, 2, lambda r: r[2] == "yok")
+    assert got[("failed", "quantity")] == first(10, 3, lambda r: r[3] == "n/a" or r[0] % 13 - 1 <= 0)
+    assert got[("failed", "unit_price")] == first(10, 4, lambda r: r[4] not in prices)
+    assert got[("business_error", "quantity")] == first(10, 3, lambda r: r[3] != "n/a" and r[0] % 13 - 1 <= 0)
+    filled = first(10, 5, lambda r: r[5] == "n/a" and r[3] != "n/a" and r[0] % 13 > 1 and r[4] in prices)
+    assert got[("filled", "revenue")] == filled

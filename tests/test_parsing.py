@@ -7,6 +7,7 @@ from ledgerlark.functions.numbers import clean_number, parse_number_lenient, par
 from ledgerlark.functions import text
 from ledgerlark.functions.text import clean_product_name, clean_text, normalize_name, null_placeholders
 from ledgerlark.operators.clean import clean_sales
+from ledgerlark.schema import PLACEHOLDER_VALUES
 
 NUMBERS = [  # value, strict, lenient-with-fallback
     ("1.234,56", 1234.56, 1234.56), ("1,234.56", 1234.56, 1234.56), ("1,234", 1.234, 1.234),
@@ -122,3 +123,34 @@ def test_repair_of_text_read_as_windows(spark):
     got = [r["x"] for r in spark.createDataFrame(rows, "i int, t string").orderBy("i")
            .select(text.fix_mojibake(F.col("t")).alias("x")).collect()]
     assert got == want + kept
+
+
+def test_every_whitespace_and_short_months(spark):
+    rows = [(f"{ws}ürün{ws} {ws}a{ws}b ",) for ws in text.WHITESPACE] + [("plain",), ("ş" + "　" * 3 + "x",), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "v string").select(clean_text(F.col("v"))).collect()]
+    assert got == [None if v is None else " ".join(v.split()) for (v,) in rows]
+    days = [f"{day}.{month}.{year}" for year in (2023, 2024, 1900, 2000, 1677, 2262) for month in (0, 1, 2, 4, 12, 13) for day in (0, 1, 28, 29, 30, 31, 32)]
+
+    def read(value):
+        day, month, year = map(int, value.split("."))
+        try:
+            return dt.date(year, month, day) if 1678 <= year <= 2261 else None
+        except ValueError:
+            return None
+
+    std = spark.createDataFrame([(v, "a", "1", "1", "1") for v in days],
+                                "date string, product_name string, quantity string, unit_price string, revenue string")
+    found = clean_sales(std, date_order="day_month").wide.select("raw_date", "date").collect()
+    assert {r["raw_date"]: r["date"] for r in found} == {v: read(v) for v in days}
+
+
+def test_numbers_of_damaged_and_placeholder_texts(spark):
+    """Columns are cleaned as the one-value parser cleans: C4 on the source text changes nothing."""
+    assert not any(ch.isdigit() for value in PLACEHOLDER_VALUES for ch in value)
+    values = [*PLACEHOLDER_VALUES, *[v for v, _, _ in NUMBERS], "â‚º1.250,5", "Ã§ 12", "1 250,5", " 7\t", "1.234.567 â€“", "-1,234,567", "5-3", "--4",
+              "1.2.3", "٣", "12\u3000000", "(5)", "\u00a0", "%10", "1e5", "-"]
+    std = spark.createDataFrame([("01.01.2024", "a", v, v, v, v) for v in values],
+                                "date string, product_name string, quantity string, unit_price string, revenue string, discount string")
+    parsed = std.select("quantity", clean_number(F.col("quantity")).alias("x")).collect()
+    wide = clean_sales(std).wide.select("raw_quantity", *[f"_{t}_num" for t in ("quantity", "unit_price", "revenue", "discount")]).collect()
+    assert [(r[0], *r[1:]) for r in wide] == [(r["quantity"], *[r["x"]] * 4) for r in parsed]

@@ -1,4 +1,6 @@
 """Plan shapes: passes over the raw rows, no row copies per column, no caches left behind."""
+import itertools
+
 from ledgerlark.plans import REGISTRY
 from ledgerlark.sources.tables import sales
 
@@ -64,3 +66,11 @@ def test_part_joins_after_orders(spark):
     assert "p_partkey" in joins[0] and "o_orderkey" in joins[-1] and len(joins) == 4
     below = plan[plan.index(joins[0]):].splitlines()[1:]
     assert any("as date" in line for line in below) and not any("p_name" in line for line in below if "Join" in line)
+
+
+def test_rows_are_numbered_before_the_texts_are_made(spark):
+    plan = REGISTRY["cleaning_report_examples"].fn(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Window [rank(" in line)
+    depth = plan[at].index("Window")
+    below = list(itertools.takewhile(lambda line: not line[:depth].strip(" :"), plan[at + 1:]))
+    assert any("Join Inner" in line for line in below) and not any(" adet" in line for line in below)
