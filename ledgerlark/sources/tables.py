@@ -40,9 +40,12 @@ def sales(spark: SparkSession, sf_dir: str, with_orders: bool = False,
     the measured size is under ``spark.sql.autoBroadcastJoinThreshold``.
     ``orders`` is joined only when its columns are asked for.  ``part`` comes
     last, so that its texts are not shuffled once more with every line; dates
-    are cut to days before the joins for the same reason.
+    are cut to days, and ``h`` is made of its keys, before the joins for the same reason.
     """
-    df = table(spark, sf_dir, "lineitem").withColumn("date", F.to_date("l_shipdate"))
+    df = table(spark, sf_dir, "lineitem").withColumns({
+        "date": F.to_date("l_shipdate"),
+        "h": (F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_suppkey") * 3
+              + F.col("l_linenumber")) % 1000})
     part = table(spark, sf_dir, "part")
     extras = []
     if with_orders or with_customer:
@@ -66,8 +69,7 @@ def sales(spark: SparkSession, sf_dir: str, with_orders: bool = False,
         F.col("l_discount").alias("discount"),
         "l_returnflag", "p_brand", "p_type",
         *extras,
-        ((F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_suppkey") * 3
-          + F.col("l_linenumber")) % 1000).alias("h"),
+        "h",
     )
 
 

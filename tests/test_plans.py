@@ -74,3 +74,15 @@ def test_rows_are_numbered_before_the_texts_are_made(spark):
     depth = plan[at].index("Window")
     below = list(itertools.takewhile(lambda line: not line[:depth].strip(" :"), plan[at + 1:]))
     assert any("Join Inner" in line for line in below) and not any(" adet" in line for line in below)
+
+
+def test_h_is_made_before_the_join(spark):
+    """One number of a line is shuffled for ``h``, not the keys it is made of."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = sales(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    above = plan[:plan.index("Join Inner")]
+    assert "l_suppkey" not in above and "l_suppkey" in plan
